@@ -35,7 +35,7 @@ from .words import mix, shingles_of, words_of
 
 #: Words of a shingle, and the similarity in hundredths.
 SHINGLE_WORDS, THRESHOLD = 5, 75
-#: Dimensions of the tree's points. Leaves also compare finer vectors, of about n / 4 groups.
+#: Dimensions of the tree's points. Leaves also compare finer vectors, of about n / 8 groups.
 DIMS = 32
 #: Members of a tree node.
 FANOUT = 16
@@ -47,14 +47,19 @@ FREQUENT_SHARE, FREQUENT_MOST = 0.005, 20_000
 
 
 def n_groups(n: int) -> int:
-    """Groups of the fine vector of a set of n shingles: a power of two from DIMS to 8192."""
-    return min(8192, max(DIMS, 1 << max(0, int(n) // 4 - 1).bit_length()))
+    """Groups of the fine vector of a set of n shingles: a power of two."""
+    return max(DIMS, 1 << max(0, int(n) // 8 - 1).bit_length())
 
 
 def count_vector(hashes: np.ndarray) -> np.ndarray:
     """Numbers of shingles by group; folding halves gives the vector of fewer groups."""
     g = n_groups(len(hashes))
-    return np.bincount((hashes >> np.uint64(20)).astype(np.int64) & (g - 1), minlength=g).astype(np.uint16)
+    counts = np.bincount((hashes >> np.uint64(20)).astype(np.int64) & (g - 1), minlength=g)
+    return counts.astype(np.uint8 if counts.max() < 256 else np.uint32)
+
+
+def vector_of(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, dtype=np.uint8 if len(data) == n_groups(n) else np.uint32)
 
 
 def fold(vector: np.ndarray, g: int) -> np.ndarray:
@@ -242,7 +247,7 @@ def _search(t: int, first_round: bool):
             if tree is None and i:
                 break
             at = near[i] if tree is None else tree.search(int(sizes[i]), points[i], t)
-            at = at[(ids[at] > ids[i]) & ((group[at] != group[i]) | first_round)] if not first_round else at[ids[at] != ids[i]]
+            at = at[ids[at] != ids[i]] if first_round else at[(ids[at] > ids[i]) & (group[at] != group[i])]
             if side is not None:
                 at = at[side[at] != side[i]]
             if not len(at):
@@ -269,7 +274,7 @@ def _search(t: int, first_round: bool):
             for a, b in zip(start, np.append(start[1:], len(keys)), strict=True):
                 if b - a < 2:
                     continue
-                fine = [np.frombuffer(v, dtype=np.uint16) for v in vectors[a:b]]
+                fine = [vector_of(v, n) for v, n in zip(vectors[a:b], sizes[a:b].tolist(), strict=True)]
                 two = chunk[a:b].min() != chunk[a:b].max()
                 new |= pairs(ids[a:b], sizes[a:b], fine, group[a:b], chunk[a:b] if two else None)
             new -= told
@@ -334,22 +339,21 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     members = cut(dealt.mapInArrow(_blocks, "block long, id long").distinct())
     points = rows.join(ids, "id", "left_semi").select("id", "n", "vector").dropDuplicates(["id"])
 
-    def search(first_round: bool, label: DataFrame | None) -> DataFrame:
-        out = members.join(points, "id")
-        out = out.withColumn("component", F.col("id")) if label is None else (
-            out.join(label.select(F.col("node").alias("id"), "component"), "id", "left")
-            .withColumn("component", F.coalesce("component", "id"))
-        )
-        out = _split(out, first_round, block_rows)
+    def search(members: DataFrame, first_round: bool) -> DataFrame:
+        out = _split(members.join(points, "id"), first_round, block_rows)
         out = out.repartition(parts, "block").sortWithinPartitions("block", "id")
         return out.mapInArrow(_search(threshold, first_round), "u long, v long").distinct()
 
-    first = cut(search(True, None))
-    ends = first.select(F.col("u").alias("id")).union(first.select(F.col("v").alias("id"))).distinct()
+    first = cut(search(members.withColumn("component", F.col("id")), True))
+    ends = cut(first.select(F.col("u").alias("id")).union(first.select(F.col("v").alias("id"))).distinct())
     sets = cut(texts.join(ends, "id", "left_semi").mapInArrow(_sets(lower, k), "id long, shingles array<long>").dropDuplicates(["id"]))
     links = cut(_verify(first, sets, threshold))
     label = components(links)
-    second = search(False, label)
+    # a text without a partner in the first round has none in the second
+    left = members.join(ends, "id", "left_semi").join(label.select(F.col("node").alias("id"), "component"), "id", "left")
+    left = cut(left.withColumn("component", F.coalesce("component", "id")))
+    mixed = left.groupBy("block").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("block")
+    second = search(left.join(mixed, "block", "left_semi"), False)
     more = cut(_verify(second, sets, threshold))
     if more.limit(1).count():
         label = components(links.union(more))
