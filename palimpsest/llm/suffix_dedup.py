@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import cut
+from .cluster import cut, fresh_path
 from .words import mix, powers, steps, utf8_of
 
-LEAST, ANCHOR = 400, 64
+LEAST, ANCHOR = 400, 160
 #: Groups with more members aren't sorted in one task; their windows are counted instead.
 GROUP_ROWS = 20_000
 _PLACE_BITS = np.uint64(30)
@@ -81,18 +81,45 @@ def anchors(data: np.ndarray, offsets: np.ndarray, least: int, size: int) -> tup
 
 
 def _anchor_rows(least: int, size: int):
+    """(id, anchors, places, runs): runs are the spans that the text itself repeats around equal anchors."""
+    back, whole = least - size, 2 * least - size
+
+    def collapsed(data: np.ndarray, offs: np.ndarray, found: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
+        around = window_hashes(data, whole)
+        owner = np.searchsorted(offs, places, side="right") - 1
+        inside = (places - back >= offs[owner]) & (places - back + whole <= offs[owner + 1])
+        at = np.flatnonzero(inside)
+        key = np.stack([owner[at].astype(np.uint64), found[at], around[places[at] - back]])
+        order = np.lexsort(key)
+        same = (key[:, order[1:]] == key[:, order[:-1]]).all(axis=0)
+        again, one = np.zeros(len(at), dtype=bool), np.zeros(len(at), dtype=bool)
+        again[order[1:][same]] = True
+        one[order[:-1][same]] = True
+        runs: list[list[dict]] = [[] for _ in range(len(offs) - 1)]
+        for p, o in zip(places[at[again | one]].tolist(), owner[at[again | one]].tolist(), strict=True):
+            start, end = p - back - int(offs[o]), p - back + whole - int(offs[o])
+            if runs[o] and start <= runs[o][-1]["end"]:
+                runs[o][-1]["end"] = end
+            else:
+                runs[o].append({"start": start, "end": end})
+        keep = np.ones(len(places), dtype=bool)
+        keep[at[again]] = False
+        return found[keep], places[keep], runs
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             raw, offsets = utf8_of(batch.column(1))
             for i, j in steps(offsets):
                 offs = offsets[i : j + 1] - offsets[i]
-                found, places = anchors(raw[offsets[i] : offsets[j]], offs, least, size)
+                data = raw[offsets[i] : offsets[j]]
+                found, places, runs = collapsed(data, offs, *anchors(data, offs, least, size))
                 cuts = np.searchsorted(places, offs).astype(np.int32)
                 own = places - np.repeat(offs[:-1], np.diff(cuts))
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(cuts), pa.array(found.view(np.int64))),
-                    pa.ListArray.from_arrays(pa.array(cuts), pa.array(own.astype(np.int32))),
-                ], names=["id", "anchors", "places"])
+                    pa.ListArray.from_arrays(pa.array(cuts), pa.array(own.astype(np.int32))), pa.array(runs, span),
+                ], names=["id", "anchors", "places", "runs"])
 
     return run
 
@@ -203,52 +230,59 @@ def _window_rows(least: int):
     return run
 
 
-def _without(empty: str):
+def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, n_removed, n_spans, kept_sha256) of texts and their spans."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, offsets = utf8_of(batch.column(1))
-            out = []
-            for r, spans in enumerate(batch.column(2).to_pylist()):
-                text = raw[offsets[r] : offsets[r + 1]].tobytes()
-                at, kept, runs, end = 0, hashlib.sha256(), 0, -1
-                removed = 0
-                for s in sorted((x["start"], x["end"]) for x in spans):
-                    if s[0] > end:
-                        kept.update(text[at : s[0]])
-                        runs, removed, at, end = runs + 1, removed + s[1] - s[0], s[1], s[1]
-                    elif s[1] > end:
-                        removed, at, end = removed + s[1] - end, s[1], s[1]
-                kept.update(text[at:])
-                out.append((removed, runs, kept.hexdigest()))
-            cols = list(zip(*out, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], names=["id", "n_removed", "n_spans", "kept_sha256"])
-
-    return run
-
-
-def repeat_spans(texts: DataFrame, heads: DataFrame, least: int = LEAST, anchor: int = ANCHOR, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(id, start, end): bytes of the texts (id, text) of heads that repeats cover; they may overlap."""
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = texts.mapInArrow(_anchor_rows(least, anchor), "id long, anchors array<long>, places array<int>").where("size(anchors) > 0")
-    found = found.join(heads, "id", "left_semi")
-    found = cut(found.select("id", F.inline(F.arrays_zip("anchors", "places"))).toDF("id", "anchor", "place"))
+    for batch in batches:
+        raw, offsets = utf8_of(batch.column(1))
+        out = []
+        for r, spans in enumerate(batch.column(2).to_pylist()):
+            text = raw[offsets[r] : offsets[r + 1]].tobytes()
+            runs: list[list[int]] = []
+            for a, b in sorted((x["start"], x["end"]) for x in spans):
+                if runs and a <= runs[-1][1]:
+                    runs[-1][1] = max(runs[-1][1], b)
+                else:
+                    runs.append([a, b])
+            kept, at = hashlib.sha256(), 0
+            for a, b in runs:
+                kept.update(text[at:a])
+                at = b
+            kept.update(text[at:])
+            out.append((sum(b - a for a, b in runs), len(runs), kept.hexdigest()))
+        cols = list(zip(*out, strict=True)) or [()] * 3
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], names=["id", "n_removed", "n_spans", "kept_sha256"]
+        )
+
+
+def repeat_spans(texts: DataFrame, heads: DataFrame, least: int = LEAST, anchor: int = ANCHOR, group_rows: int = GROUP_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Of the texts (id, text) that heads names: (id, text) of those that may hold repeats, and
+    (id, start, end) of what repeats cover; the spans may overlap."""
+    spark = texts.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kinds = "id long, anchors array<long>, places array<int>, runs array<struct<start:long,end:long>>"
+    dealt = cut(texts.mapInArrow(_anchor_rows(least, anchor), kinds).where("size(anchors) > 0").join(heads, "id", "left_semi"))
+    found = dealt.select("id", F.inline(F.arrays_zip("anchors", "places"))).toDF("id", "anchor", "place")
     often = cut(found.groupBy("anchor").agg(F.count("*").alias("members")).where("members > 1"))
     marks = found.join(often, "anchor").groupBy("id").agg(F.collect_list(F.struct("place", "anchor", "members")).alias("marks"))
-    around = texts.join(marks, "id").mapInArrow(
-        _contexts(least, anchor), "anchor long, members long, id long, place int, before binary, after binary"
-    )
-    few = around.where(F.col("members") <= group_rows).repartition(parts, "anchor").sortWithinPartitions("anchor")
+    alone = dealt.where("size(runs) > 0").select("id", "runs")
+    marks = marks.join(alone, "id", "full").withColumn("marks", F.coalesce("marks", F.array().cast("array<struct<place:int,anchor:long,members:long>>")))
+    path = fresh_path(spark, "marked")
+    texts.join(marks, "id").dropDuplicates(["id"]).write.parquet(path)
+    marked = spark.read.parquet(path)
+
+    kinds = "anchor long, members long, id long, place int, before binary, after binary"
+    around = lambda rule: marked.select("id", "text", F.filter("marks", rule).alias("marks")).where("size(marks) > 0").mapInArrow(_contexts(least, anchor), kinds)
+    few = around(lambda m: m["members"] <= group_rows).repartition(parts, "anchor").sortWithinPartitions("anchor")
     spans = few.mapInArrow(_repeat_rows(least), "id long, start long, end long")
+    spans = spans.union(marked.where("runs is not null").select("id", F.inline("runs")))
     if often.where(F.col("members") > group_rows).limit(1).count():
-        windows = around.where(F.col("members") > group_rows).mapInArrow(
-            _window_rows(least), "anchor long, shift long, window long, id long, start long"
-        ).distinct()
+        kinds = "anchor long, shift long, window long, id long, start long"
+        windows = around(lambda m: m["members"] > group_rows).mapInArrow(_window_rows(least), kinds)
         again = windows.groupBy("anchor", "shift", "window").count().where("count > 1").drop("count")
-        more = windows.join(again, ["anchor", "shift", "window"]).select("id", "start", (F.col("start") + least).alias("end"))
+        more = windows.join(again, ["anchor", "shift", "window"]).groupBy("id", "start").agg((F.first("start") + least).alias("end"))
         spans = spans.union(more)
-    return spans
+    return marked.select("id", "text"), spans
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, anchor: int = ANCHOR, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -265,9 +299,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = cut(texts.select("id", F.sha2(F.encode("text", "UTF-8"), 256).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes")))
     classes = cut(own.groupBy("sha").agg(F.min("id").alias("head"), F.count("*").alias("copies"), F.max("n_bytes").alias("size")))
     heads = classes.where(f"size >= {least} and head is not null").select(F.col("head").alias("id"))
-    spans = repeat_spans(texts, heads, least, anchor, group_rows)
+    marked, spans = repeat_spans(texts, heads, least, anchor, group_rows)
     spans = spans.groupBy("id").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    done = texts.join(spans, "id").mapInArrow(_without(""), "id long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["id"])
+    done = marked.join(spans, "id").mapInArrow(_without, "id long, n_removed long, n_spans long, kept_sha256 string")
     copied = classes.where(f"copies > 1 and size >= {least}").select("sha", F.lit(True).alias("copied"))
     out = own.join(copied, "sha", "left").join(done, "id", "left")
     nothing = hashlib.sha256(b"").hexdigest()
