@@ -110,8 +110,8 @@ def of_text(text: str, features: Features) -> np.ndarray:
     return distinct(*features(words))[1]
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, trains: Callable, most: int) -> list[tuple[str, int]]:
-    """At most `most` (text, label) rows that `trains` (of the id as text) accepts.
+def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, trains: Callable, most: int) -> DataFrame:
+    """At most `most` rows (_id, _label, _text) that `trains` (of the id as text) accepts.
 
     Taken in the order of a hash of the id, so the sample doesn't depend on the table's layout.
     Labels of one id are averaged and rounded; rows with null labels or texts are left out. The ids that are
@@ -142,8 +142,11 @@ def sample_features(rows: DataFrame, features: Features) -> list[tuple[int, int,
     return [(int(ids[i]), int(labels[i]), flat[offs[i] - offs[0] : offs[i + 1] - offs[0]]) for i in np.argsort(ids, kind="stable")]
 
 
-def margins(docs: DataFrame, id_col: str, text_col: str, features: Features, weights: np.ndarray, bias: float, scale: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """(id, margin) of every row of docs: bias + scale(sum of its features' weights, its number of words)."""
+def margins(docs: DataFrame, id_col: str, text_col: str, features: Features, weights: np.ndarray, bias: float, by_root: bool = False) -> DataFrame:
+    """(id, margin) of every row of docs: bias plus the sum of its features' weights.
+
+    by_root divides the sum by the root of the number of its features that have a weight.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,8 +157,9 @@ def margins(docs: DataFrame, id_col: str, text_col: str, features: Features, wei
                 used = w[bucket] != 0
                 row, bucket = distinct(row[used], bucket[used])
                 total = np.bincount(row, w[bucket], words.n_rows)
-                out = bias + scale(total, np.diff(words.bounds))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(words.first, words.n_rows), pa.array(out, pa.float64())], names=["id", "margin"])
+                if by_root:
+                    total = total / np.sqrt(np.maximum(np.bincount(row, minlength=words.n_rows), 1))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(words.first, words.n_rows), pa.array(total + bias, pa.float64())], names=["id", "margin"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "id long, margin double")

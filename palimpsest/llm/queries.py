@@ -4,16 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ngram_join, quality_rules, secrets, sharding, suffix_dedup, warc
+from . import mixing, ngram_join, quality_model, quality_rules, secrets, sharding, suffix_dedup, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(key: Column, of: int) -> Column:
+    return F.crc32(F.encode(key.cast("string"), "UTF-8")) % of
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned outside fold 1 of 3."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = toxicity.score(docs, labels, trains=lambda key: _fold(key, 3) != 1).withColumnRenamed("id", "doc_id")
+    return out.select("doc_id", (_fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents under five-word shingle similarity of 0.75."""
     return ngram_join.ngram_components(table(spark, sf_dir, "documents")).select(
@@ -41,6 +52,13 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages")).drop("url")
 
 
+def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learned outside fold 0 of 5."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = quality_model.score(docs, labels, trains=lambda key: _fold(key, 5) != 0).withColumnRenamed("id", "doc_id")
+    return out.select("doc_id", (_fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of near equal bytes."""
     out = sharding.shard(table(spark, sf_dir, "documents"))
@@ -55,11 +73,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_ngram_join": op2_ngram_join,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op5_secrets": op5_secrets,
     "op6_mixing": op6_mixing,
     "op7_warc": op7_warc,
+    "op8_quality_model": op8_quality_model,
     "op9_sharding": op9_sharding,
     "op10_quality_rules": op10_quality_rules,
 }
