@@ -142,24 +142,29 @@ def sample_features(rows: DataFrame, features: Features) -> list[tuple[int, int,
     return [(int(ids[i]), int(labels[i]), flat[offs[i] - offs[0] : offs[i + 1] - offs[0]]) for i in np.argsort(ids, kind="stable")]
 
 
-def margins(docs: DataFrame, id_col: str, text_col: str, features: Features, weights: np.ndarray, bias: float, by_root: bool = False) -> DataFrame:
-    """(id, margin) of every row of docs: bias plus the sum of its features' weights.
+def row_margins(words: Words, features: Features, weights: np.ndarray, bias: float, by_root: bool) -> np.ndarray:
+    """Of each row the bias plus the sum of its features' weights.
 
     by_root divides the sum by the root of the number of its features that have a weight.
     """
+    row, bucket = features(words)
+    used = weights[bucket] != 0
+    row, bucket = distinct(row[used], bucket[used])
+    total = np.bincount(row, weights[bucket], words.n_rows)
+    if by_root:
+        total = total / np.sqrt(np.maximum(np.bincount(row, minlength=words.n_rows), 1))
+    return total + bias
+
+
+def margins(docs: DataFrame, id_col: str, text_col: str, features: Features, weights: np.ndarray, bias: float, by_root: bool = False) -> DataFrame:
+    """(id, margin) of every row of docs, by row_margins; no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value
         for batch in batches:
             for words in words_of(batch.column(1)):
-                row, bucket = features(words)
-                used = w[bucket] != 0
-                row, bucket = distinct(row[used], bucket[used])
-                total = np.bincount(row, w[bucket], words.n_rows)
-                if by_root:
-                    total = total / np.sqrt(np.maximum(np.bincount(row, minlength=words.n_rows), 1))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(words.first, words.n_rows), pa.array(total + bias, pa.float64())], names=["id", "margin"])
+                out = row_margins(words, features, shared.value, bias, by_root)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(words.first, words.n_rows), pa.array(out, pa.float64())], names=["id", "margin"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "id long, margin double")

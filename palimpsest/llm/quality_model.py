@@ -7,14 +7,16 @@ descent. A logistic curve over the training margins turns a margin into a score.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .features import BITS, margins, sample, sample_features, shape_features
+from .features import BITS, margins, row_margins, sample, sample_features, shape_features
+from .words import words_of
 
 #: Labelled rows to fit on at most; rows that hold an n-gram at least; and n-grams kept.
 MOST_ROWS, LEAST_ROWS, MOST_FEATURES = 8000, 5, 1 << 16
@@ -147,3 +149,21 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     model = train(docs, labels, id_col, text_col, label_col, trains or (lambda key: F.lit(True)), **options)
     return scored(docs, model, id_col, text_col, threshold)
+
+
+def keep(docs: DataFrame, model: Model, text_col: str, threshold: float) -> DataFrame:
+    """The rows of docs whose score reaches the threshold, with all their columns; nothing moves."""
+    at = docs.columns.index(text_col)
+    least = float((np.log(threshold / (1 - threshold)) - model.shift) / model.slope)
+    if model.slope < 0:
+        raise ValueError("the model ranks its own classes the wrong way round")
+    shared = docs.sparkSession.sparkContext.broadcast(model.weights.astype(np.float32))
+    bias = model.bias
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = [row_margins(words, shape_features, shared.value, bias, True) for words in words_of(batch.column(at))]
+            good = np.concatenate([np.zeros(0), *marks]) >= least
+            yield batch if good.all() else batch.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ngram_join, quality_model, quality_rules, secrets, sharding, suffix_dedup, toxicity, warc
+from . import decontamination, mixing, ngram_join, quality_model, quality_rules, secrets, sharding, suffix_dedup, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,12 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in all documents."""
+    found = decontamination.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all documents: base patterns and confirmed structures."""
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_ngram_join": op2_ngram_join,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_decontamination": op4_decontamination,
     "op5_secrets": op5_secrets,
     "op6_mixing": op6_mixing,
     "op7_warc": op7_warc,
