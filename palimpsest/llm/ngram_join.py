@@ -9,9 +9,9 @@ works on one text of each class.
    that share such a shingle form a block; blocks with the same members count once.
 2. Count vectors. The shingles are hashed into groups and the numbers by group are a point.
    Two sets share at most the sum of coordinate minima. In each block an R-tree over the
-   points is searched with that bound.
-3. Verification. Surviving pairs are compared by their whole sets, with Spark's
-   array_intersect.
+   points is searched with that bound; pairs that it leaves are bounded once more with the
+   vectors of more groups.
+3. Verification. Surviving pairs are compared by their whole sets.
 
 Texts in large groups of near copies aren't expanded into all pairs. A first round verifies
 for each text of a block its best partner and the block's most central text, and finds the
@@ -29,14 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import cut
+from .cluster import cut, fresh_path
 from .components import components
 from .words import mix, shingles_of, words_of
 
 #: Words of a shingle, and the similarity in hundredths.
 SHINGLE_WORDS, THRESHOLD = 5, 75
-#: Dimensions of the tree's points. Leaves also compare finer vectors, of about n / 8 groups.
-DIMS = 32
+#: Dimensions of the tree's points; leaves compare vectors of about n / COARSE groups, and pairs
+#: those of about n / FINE groups.
+DIMS, COARSE, FINE = 32, 8, 2
+#: Ids that are broadcast at most; a longer list is joined with a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Members of a tree node.
 FANOUT = 16
 #: A block with more members is split into chunks, of which each pair becomes a block.
@@ -46,20 +49,20 @@ BLOCK_ROWS = 20_000
 FREQUENT_SHARE, FREQUENT_MOST = 0.005, 20_000
 
 
-def n_groups(n: int) -> int:
-    """Groups of the fine vector of a set of n shingles: a power of two."""
-    return max(DIMS, 1 << max(0, int(n) // 8 - 1).bit_length())
+def n_groups(n: int, per: int) -> int:
+    """Groups of the vector of a set of n shingles, about `per` shingles each: a power of two."""
+    return max(DIMS, 1 << max(0, int(n) // per - 1).bit_length())
 
 
-def count_vector(hashes: np.ndarray) -> np.ndarray:
+def count_vector(hashes: np.ndarray, per: int) -> np.ndarray:
     """Numbers of shingles by group; folding halves gives the vector of fewer groups."""
-    g = n_groups(len(hashes))
+    g = n_groups(len(hashes), per)
     counts = np.bincount((hashes >> np.uint64(20)).astype(np.int64) & (g - 1), minlength=g)
     return counts.astype(np.uint8 if counts.max() < 256 else np.uint32)
 
 
-def vector_of(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, dtype=np.uint8 if len(data) == n_groups(n) else np.uint32)
+def vector_of(data: bytes, n: int, per: int) -> np.ndarray:
+    return np.frombuffer(data, dtype=np.uint8 if len(data) == n_groups(n, per) else np.uint32)
 
 
 def fold(vector: np.ndarray, g: int) -> np.ndarray:
@@ -109,25 +112,26 @@ def _profile(lower: bool, k: int):
                 rows, hashes = shingles_of(words, k)
                 cuts = np.searchsorted(rows, np.arange(words.n_rows + 1))
                 spread = mix(hashes + np.uint64(0x5851F42D4C957F2D))
-                one, two, vectors = [], [], []
+                one, two, fine, coarse = [], [], [], []
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                     one.append(int(hashes[a:b].sum(dtype=np.uint64)))
                     two.append(int(np.bitwise_xor.reduce(spread[a:b])) if b > a else 0)
-                    vectors.append(count_vector(hashes[a:b]).tobytes() if b > a else b"")
+                    fine.append(count_vector(hashes[a:b], FINE).tobytes() if b > a else b"")
+                    coarse.append(count_vector(hashes[a:b], COARSE).tobytes() if b > a else b"")
                 seen.append(hashes)
                 yield pa.RecordBatch.from_arrays([
                     ids.slice(words.first, words.n_rows), pa.array(np.diff(cuts), pa.int64()),
                     pa.array(np.array(one, np.uint64).view(np.int64)), pa.array(np.array(two, np.uint64).view(np.int64)),
-                    pa.array(vectors, pa.binary()), pa.nulls(words.n_rows, pa.int64()),
-                ], names=["id", "n", "k1", "k2", "vector", "shingle"])
+                    pa.array(fine, pa.binary()), pa.array(coarse, pa.binary()), pa.nulls(words.n_rows, pa.int64()),
+                ], names=["id", "n", "k1", "k2", "fine", "coarse", "shingle"])
             if seen:
                 found, count = np.unique(np.concatenate(seen), return_counts=True)
                 often = count >= max(8, FREQUENT_SHARE * len(batch))
                 m = int(often.sum())
                 yield pa.RecordBatch.from_arrays([
                     pa.nulls(m, pa.int64()), pa.array(count[often], pa.int64()), pa.nulls(m, pa.int64()),
-                    pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(found[often].view(np.int64)),
-                ], names=["id", "n", "k1", "k2", "vector", "shingle"])
+                    pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.array(found[often].view(np.int64)),
+                ], names=["id", "n", "k1", "k2", "fine", "coarse", "shingle"])
 
     return run
 
@@ -157,20 +161,6 @@ def _prefixes(lower: bool, k: int, t: int, last: np.ndarray):
     return run
 
 
-def _sets(lower: bool, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0)
-            for words in words_of(batch.column(1), lower):
-                rows, hashes = shingles_of(words, k)
-                offs = np.searchsorted(rows, np.arange(words.n_rows + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(words.first, words.n_rows), pa.ListArray.from_arrays(pa.array(offs), pa.array(hashes.view(np.int64)))], names=["id", "shingles"]
-                )
-
-    return run
-
-
 def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Whole groups of equal, adjacent keys; several groups in one table."""
     held: list[pa.RecordBatch] = []
@@ -193,7 +183,7 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, id) of blocks of two members or more; a block's name is the hash of its members."""
+    """(block, size, id) of blocks of two members or more; a block's name is the hash of its members."""
     seen: set[int] = set()
     for table in _runs(batches, "shingle"):
         keys, ids = table.column("shingle").to_numpy(), table.column("id").to_numpy()
@@ -208,7 +198,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(seen) > 2_000_000:
             seen.clear()
         take = np.repeat(first, size)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, size)[take]), pa.array(ids[take])], names=["block", "id"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(x, size)[take]) for x in (name, size)] + [pa.array(ids[take])], names=["block", "size", "id"])
 
 
 def _search(t: int, first_round: bool):
@@ -217,12 +207,7 @@ def _search(t: int, first_round: bool):
     def pairs(ids: np.ndarray, sizes: np.ndarray, fine: list[np.ndarray], group: np.ndarray, side: np.ndarray) -> set[tuple[int, int]]:
         points = np.array([fold(v, DIMS) for v in fine])
         found: set[tuple[int, int]] = set()
-        if len(ids) == 2:
-            near = {0: np.array([1])}
-            tree = None
-        else:
-            tree = CountTree(sizes, points)
-            near = {}
+        tree = CountTree(sizes, points)
         folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
         def bound(i: int, at: np.ndarray) -> np.ndarray:
@@ -240,13 +225,11 @@ def _search(t: int, first_round: bool):
             return out
 
         lengths = np.array([len(v) for v in fine])
-        best, centre = {}, None
+        centre = None
         if first_round and len(ids) > 3:
             centre = int(np.argmin(np.abs(points - points.mean(axis=0)).sum(axis=1)))
         for i in range(len(ids)):
-            if tree is None and i:
-                break
-            at = near[i] if tree is None else tree.search(int(sizes[i]), points[i], t)
+            at = tree.search(int(sizes[i]), points[i], t)
             at = at[ids[at] != ids[i]] if first_round else at[(ids[at] > ids[i]) & (group[at] != group[i])]
             if side is not None:
                 at = at[side[at] != side[i]]
@@ -256,8 +239,8 @@ def _search(t: int, first_round: bool):
             ok = (100 + t) * shared >= t * (sizes[at] + sizes[i])
             at, shared = at[ok], shared[ok]
             if first_round and len(at):
-                best[i] = int(at[np.argmax(shared / (sizes[at] + sizes[i]))])
-                chosen = [best[i], centre] if centre is not None and centre in at else [best[i]]
+                best = int(at[np.argmax(shared / (sizes[at] + sizes[i]))])
+                chosen = [best, centre] if centre is not None and centre in at else [best]
             else:
                 chosen = at
             found.update((min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))) for j in chosen)
@@ -268,13 +251,13 @@ def _search(t: int, first_round: bool):
         for table in _runs(batches, "block"):
             keys, ids = table.column("block").to_numpy(), table.column("id").to_numpy()
             sizes, group, chunk = (table.column(c).to_numpy() for c in ("n", "component", "chunk"))
-            vectors = table.column("vector").to_pylist()
+            vectors = table.column("coarse").to_pylist()
             start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             new: set[tuple[int, int]] = set()
             for a, b in zip(start, np.append(start[1:], len(keys)), strict=True):
                 if b - a < 2:
                     continue
-                fine = [vector_of(v, n) for v, n in zip(vectors[a:b], sizes[a:b].tolist(), strict=True)]
+                fine = [vector_of(v, n, COARSE) for v, n in zip(vectors[a:b], sizes[a:b].tolist(), strict=True)]
                 two = chunk[a:b].min() != chunk[a:b].max()
                 new |= pairs(ids[a:b], sizes[a:b], fine, group[a:b], chunk[a:b] if two else None)
             new -= told
@@ -302,12 +285,52 @@ def _split(members: DataFrame, first_round: bool, block_rows: int) -> DataFrame:
     return out.withColumn("block", F.when(F.col("parts") > 1, name).otherwise(F.col("block"))).drop("count", "parts", "other")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
-    a = sets.select(F.col("id").alias("u"), F.col("shingles").alias("a"))
-    b = sets.select(F.col("id").alias("v"), F.col("shingles").alias("b"))
-    both = pairs.join(a, "u").join(b, "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    return both.where(shared * (100 + t) >= t * (F.size("a") + F.size("b"))).select("u", "v")
+def _refine(t: int):
+    """(u, v) of pairs whose fine vectors leave them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, v, n, m = (batch.column(c).to_numpy() for c in ("u", "v", "n", "m"))
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            groups = np.minimum([n_groups(x, FINE) for x in n], [n_groups(x, FINE) for x in m]) if len(batch) else n
+            shared = np.zeros(len(batch), dtype=np.int64)
+            for g in np.unique(groups):
+                at = np.flatnonzero(groups == g)
+                left = np.array([fold(vector_of(a[i], n[i], FINE), int(g)) for i in at])
+                right = np.array([fold(vector_of(b[i], m[i], FINE), int(g)) for i in at])
+                shared[at] = np.minimum(left, right).sum(axis=1)
+            ok = (100 + t) * shared >= t * (n + m)
+            yield pa.RecordBatch.from_arrays([pa.array(u[ok]), pa.array(v[ok])], names=["u", "v"])
+
+    return run
+
+
+def _linked(lower: bool, k: int, t: int):
+    """(u, v) of pairs of texts (a, b) whose whole sets reach the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = []
+            for c in ("a", "b"):
+                own = []
+                for words in words_of(batch.column(c), lower):
+                    rows, hashes = shingles_of(words, k)
+                    own += np.split(hashes, np.searchsorted(rows, np.arange(1, words.n_rows)))
+                sets.append(own)
+            ok = np.zeros(len(batch), dtype=bool)
+            for i, (a, b) in enumerate(zip(*sets, strict=True)):
+                shared = len(np.intersect1d(a, b, assume_unique=True))
+                ok[i] = 100 * shared >= t * (len(a) + len(b) - shared)
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(ok))
+
+    return run
+
+
+def _both(pairs: DataFrame, table: DataFrame, *columns: tuple[str, str, str]) -> DataFrame:
+    """pairs (u, v) with columns of table (id, ...): (column, its name for u, its name for v)."""
+    for end, place in (("u", 1), ("v", 2)):
+        pairs = pairs.join(table.select(F.col("id").alias(end), *(F.col(c[0]).alias(c[place]) for c in columns)), end)
+    return pairs
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS,
@@ -322,45 +345,56 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    kinds = "id long, n long, k1 long, k2 long, vector binary, shingle long"
-    profile = cut(texts.mapInArrow(_profile(lower, k), kinds))
+    kinds = "id long, n long, k1 long, k2 long, fine binary, coarse binary, shingle long"
+    profile = _table(texts.mapInArrow(_profile(lower, k), kinds), "profile")
     often = profile.where("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle")
     last = np.array([r.shingle for r in often.limit(FREQUENT_MOST).collect()], dtype=np.int64).view(np.uint64)
     last = np.sort(last)
-    rows = profile.where("shingle is null").select("id", "n", "k1", "k2", "vector")
+    rows = profile.where("shingle is null").select("id", "n", "k1", "k2", "fine", "coarse")
 
-    classes = rows.where("id is not null and n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("class_id"))
-    heads = cut(classes)
+    heads = cut(rows.where("id is not null and n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("class_id")))
     ids = heads.select(F.col("class_id").alias("id"))
     prefixes = texts.mapInArrow(_prefixes(lower, k, threshold, last), "id long, shingles array<long>")
     prefixes = prefixes.join(ids, "id", "left_semi").select(F.explode("shingles").alias("shingle"), "id")
-    parts = _parts(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = prefixes.repartition(parts, "shingle").sortWithinPartitions("shingle", "id")
-    members = cut(dealt.mapInArrow(_blocks, "block long, id long").distinct())
-    points = rows.join(ids, "id", "left_semi").select("id", "n", "vector").dropDuplicates(["id"])
+    members = _table(dealt.mapInArrow(_blocks, "block long, size long, id long").distinct(), "members")
+    points = rows.dropDuplicates(["id"])
 
     def search(members: DataFrame, first_round: bool) -> DataFrame:
-        out = _split(members.join(points, "id"), first_round, block_rows)
+        out = _split(members.drop("size").join(points.select("id", "n", "coarse"), "id"), first_round, block_rows)
         out = out.repartition(parts, "block").sortWithinPartitions("block", "id")
-        return out.mapInArrow(_search(threshold, first_round), "u long, v long").distinct()
+        return out.mapInArrow(_search(threshold, first_round), "u long, v long")
 
-    first = cut(search(members.withColumn("component", F.col("id")), True))
+    def refined(pairs: DataFrame) -> DataFrame:
+        near = _both(pairs.distinct(), points, ("n", "n", "m"), ("fine", "a", "b"))
+        near = near.where(f"100 * n >= {threshold} * m and {threshold} * n <= 100 * m")
+        return _table(near.mapInArrow(_refine(threshold), "u long, v long"), "pairs")
+
+    two = members.where("size = 2").groupBy("block").agg(F.min("id").alias("u"), F.max("id").alias("v")).select("u", "v")
+    large = members.where("size > 2")
+    first = refined(two.union(search(large.withColumn("component", F.col("id")), True)))
     ends = cut(first.select(F.col("u").alias("id")).union(first.select(F.col("v").alias("id"))).distinct())
-    sets = cut(texts.join(ends, "id", "left_semi").mapInArrow(_sets(lower, k), "id long, shingles array<long>").dropDuplicates(["id"]))
-    links = cut(_verify(first, sets, threshold))
+    few = F.broadcast(ends) if ends.count() <= BROADCAST_IDS else ends
+    whole = _table(texts.join(few, "id", "left_semi").dropDuplicates(["id"]), "ends")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return cut(_both(pairs, whole, ("text", "a", "b")).mapInArrow(_linked(lower, k, threshold), "u long, v long"))
+
+    links = linked(first)
     label = components(links)
     # a text without a partner in the first round has none in the second
-    left = members.join(ends, "id", "left_semi").join(label.select(F.col("node").alias("id"), "component"), "id", "left")
+    left = large.join(few, "id", "left_semi").join(label.select(F.col("node").alias("id"), "component"), "id", "left")
     left = cut(left.withColumn("component", F.coalesce("component", "id")))
     mixed = left.groupBy("block").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("block")
-    second = search(left.join(mixed, "block", "left_semi"), False)
-    more = cut(_verify(second, sets, threshold))
+    second = refined(search(left.join(mixed, "block", "left_semi"), False)).join(first, ["u", "v"], "left_anti")
+    more = linked(second)
     if more.limit(1).count():
         label = components(links.union(more))
 
     heads = heads.join(label.select(F.col("node").alias("class_id"), F.col("component").alias("component_id")), "class_id", "left")
     heads = heads.withColumn("component_id", F.coalesce("component_id", "class_id"))
-    out = rows.drop("vector").join(heads, ["k1", "k2", "n"], "left")
+    out = rows.drop("fine", "coarse").join(heads, ["k1", "k2", "n"], "left")
     return out.select(
         F.col("id"), F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("id")).alias("class_id"),
@@ -368,5 +402,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
-def _parts(spark) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _table(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read back."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
