@@ -1,0 +1 @@
+"""A versioned record ledger, hybrid retrieval and evaluation analytics as Spark DataFrames."""
