@@ -159,7 +159,7 @@ def routing_text(text: Column, entity: Column, attribute: Column, value: Column)
 def segments(text: Column, most: int = 8) -> Column:
     """The text split after sentence ends; whole if that makes one part or more than `most`."""
     whole = F.trim(F.regexp_replace(text, r"\s+", " "))
-    parts = F.filter(F.transform(F.split(whole, r"(?<=[。！？!?；;])\s*"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(whole, r"(?<=[。！？!?；;])\s*"), lambda x: F.trim(x)), lambda p: p != "")
     return F.when(whole == "", F.array().cast("array<string>")).when((F.size(parts) <= 1) | (F.size(parts) > most), F.array(whole)).otherwise(parts)
 
 
@@ -202,7 +202,7 @@ def parse_fact(text: Column) -> Column:
 def evidence_card(text: Column, entity: Column, attribute: Column, value: Column) -> Column:
     """The lines of a record's card: head, fact, the fields that it has, and what is asked."""
     line = lambda head, field: F.when(F.trim(field) != "", F.concat(F.lit(head), F.trim(field)))
-    fields = F.filter(F.transform(F.array(entity, attribute, value), F.trim), lambda x: x != "")
+    fields = F.filter(F.transform(F.array(entity, attribute, value), lambda x: F.trim(x)), lambda x: x != "")
     phrase = F.when(F.size(fields) > 0, F.concat(F.lit(CARD_PHRASE), F.array_join(fields, "；")))
     return F.concat_ws(
         "\n", F.lit(CARD_HEAD), F.concat(F.lit(CARD_FACT), F.trim(text)), line(CARD_ENTITY, entity), line(CARD_ATTRIBUTE, attribute),
