@@ -28,8 +28,9 @@ from .cluster import cut, fresh_path
 from .words import mix, powers, steps, utf8_of
 
 LEAST, ANCHOR = 400, 160
-#: Groups with more members aren't sorted in one task; their windows are counted instead.
-GROUP_ROWS = 20_000
+#: Groups with more members (about 100 MB in a task) are not sorted in one task; their windows are
+#: counted instead.
+GROUP_ROWS = 100_000
 _PLACE_BITS = np.uint64(30)
 
 _BYTE = np.arange(1, 257, dtype=np.uint64)
@@ -215,17 +216,20 @@ def _repeat_rows(least: int):
     return run
 
 
-def _window_rows(least: int):
+def _window_rows(least: int, size: int):
+    """(anchor, shift, window, id, start): every window around each anchor in `marks`."""
+    contexts = _contexts(least, size)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in contexts(batches):
+            out = []
             for r in batch.to_pylist():
-                text = np.frombuffer(r["before"][::-1] + r["after"], dtype=np.uint8)
-                h = window_hashes(text, least)
-                m, back = len(h), len(r["before"])
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([r["anchor"]] * m, pa.int64()), pa.array(np.arange(m) - back, pa.int64()), pa.array(h.view(np.int64)),
-                    pa.array([r["id"]] * m, pa.int64()), pa.array(np.arange(m) - back + r["place"], pa.int64()),
-                ], names=["anchor", "shift", "window", "id", "start"])
+                h = window_hashes(np.frombuffer(r["before"][::-1] + r["after"], dtype=np.uint8), least)
+                shift = np.arange(len(h)) - len(r["before"])
+                own = [np.full(len(h), r["anchor"]), shift, h.view(np.int64), np.full(len(h), r["id"]), shift + r["place"]]
+                out.append(np.stack([x.astype(np.int64) for x in own]))
+            rows = np.concatenate([np.zeros((5, 0), np.int64), *out], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["anchor", "shift", "window", "id", "start"])
 
     return run
 
@@ -272,13 +276,13 @@ def repeat_spans(texts: DataFrame, heads: DataFrame, least: int = LEAST, anchor:
     marked = spark.read.parquet(path)
 
     kinds = "anchor long, members long, id long, place int, before binary, after binary"
-    around = lambda rule: marked.select("id", "text", F.filter("marks", rule).alias("marks")).where("size(marks) > 0").mapInArrow(_contexts(least, anchor), kinds)
-    few = around(lambda m: m["members"] <= group_rows).repartition(parts, "anchor").sortWithinPartitions("anchor")
+    of = lambda rule: marked.select("id", "text", F.filter("marks", rule).alias("marks")).where("size(marks) > 0")
+    few = of(lambda m: m["members"] <= group_rows).mapInArrow(_contexts(least, anchor), kinds).repartition(parts, "anchor").sortWithinPartitions("anchor")
     spans = few.mapInArrow(_repeat_rows(least), "id long, start long, end long")
     spans = spans.union(marked.where("runs is not null").select("id", F.inline("runs")))
     if often.where(F.col("members") > group_rows).limit(1).count():
         kinds = "anchor long, shift long, window long, id long, start long"
-        windows = around(lambda m: m["members"] > group_rows).mapInArrow(_window_rows(least), kinds)
+        windows = of(lambda m: m["members"] > group_rows).mapInArrow(_window_rows(least, anchor), kinds)
         again = windows.groupBy("anchor", "shift", "window").count().where("count > 1").drop("count")
         more = windows.join(again, ["anchor", "shift", "window"]).groupBy("id", "start").agg((F.first("start") + least).alias("end"))
         spans = spans.union(more)
