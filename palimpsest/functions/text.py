@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # What the record store's rules are stated in.
 STOP_TOKENS = ("我", "的", "是", "了", "请", "一下")
@@ -258,7 +259,7 @@ def _squash(text: str | None) -> str:
     return "".join(unicodedata.normalize("NFKC", text or "").split()).casefold()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def squash(text: pd.Series) -> pd.Series:
     """NFKC, no white space, case folded; Spark has no built-in for the first and last."""
     return text.map(_squash)
