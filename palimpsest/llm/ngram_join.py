@@ -44,6 +44,9 @@ BROADCAST_IDS = 1_000_000
 FANOUT = 16
 #: A block with more members is split into chunks, of which each pair becomes a block.
 BLOCK_ROWS = 20_000
+#: Blocks of a text, by name, that say whether an earlier block has a pair already. Further ones
+#: only cost repeated pairs.
+NAMES = 32
 #: A shingle in this share of a batch's texts is reported as frequent, and that many of the
 #: most frequent ones go last in the order. Only the cost depends on either.
 FREQUENT_SHARE, FREQUENT_MOST = 0.005, 20_000
@@ -202,9 +205,14 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _search(t: int, first_round: bool):
-    """Pairs (u, v), u < v, of each block that the summed minima leave."""
+    """Pairs (u, v), u < v, of each block that the summed minima leave.
 
-    def pairs(ids: np.ndarray, sizes: np.ndarray, fine: list[np.ndarray], group: np.ndarray, side: np.ndarray) -> set[tuple[int, int]]:
+    The first round takes coarse vectors and pairs each member with its best partner and with
+    the block's centre; the second takes fine ones and all pairs of different components.
+    """
+    per = COARSE if first_round else FINE
+
+    def pairs(ids: np.ndarray, sizes: np.ndarray, fine: list[np.ndarray], group: np.ndarray, side: np.ndarray, names: list[frozenset], own: int) -> set[tuple[int, int]]:
         points = np.array([fold(v, DIMS) for v in fine])
         found: set[tuple[int, int]] = set()
         tree = CountTree(sizes, points)
@@ -242,7 +250,7 @@ def _search(t: int, first_round: bool):
                 best = int(at[np.argmax(shared / (sizes[at] + sizes[i]))])
                 chosen = [best, centre] if centre is not None and centre in at else [best]
             else:
-                chosen = at
+                chosen = [j for j in at if not any(x < own for x in names[i] & names[j])]
             found.update((min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))) for j in chosen)
         return found
 
@@ -251,15 +259,15 @@ def _search(t: int, first_round: bool):
         for table in _runs(batches, "block"):
             keys, ids = table.column("block").to_numpy(), table.column("id").to_numpy()
             sizes, group, chunk = (table.column(c).to_numpy() for c in ("n", "component", "chunk"))
-            vectors = table.column("coarse").to_pylist()
+            vectors, names, own = (table.column(c).to_pylist() for c in ("vector", "names", "name"))
             start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             new: set[tuple[int, int]] = set()
             for a, b in zip(start, np.append(start[1:], len(keys)), strict=True):
                 if b - a < 2:
                     continue
-                fine = [vector_of(v, n, COARSE) for v, n in zip(vectors[a:b], sizes[a:b].tolist(), strict=True)]
+                fine = [vector_of(v, n, per) for v, n in zip(vectors[a:b], sizes[a:b].tolist(), strict=True)]
                 two = chunk[a:b].min() != chunk[a:b].max()
-                new |= pairs(ids[a:b], sizes[a:b], fine, group[a:b], chunk[a:b] if two else None)
+                new |= pairs(ids[a:b], sizes[a:b], fine, group[a:b], chunk[a:b] if two else None, [frozenset(x) for x in names[a:b]], own[a])
             new -= told
             told |= new
             if len(told) > 2_000_000:
@@ -362,7 +370,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     points = rows.dropDuplicates(["id"])
 
     def search(members: DataFrame, first_round: bool) -> DataFrame:
-        out = _split(members.drop("size").join(points.select("id", "n", "coarse"), "id"), first_round, block_rows)
+        vector = F.col("coarse" if first_round else "fine").alias("vector")
+        out = _split(members.drop("size").withColumn("name", F.col("block")).join(points.select("id", "n", vector), "id"), first_round, block_rows)
         out = out.repartition(parts, "block").sortWithinPartitions("block", "id")
         return out.mapInArrow(_search(threshold, first_round), "u long, v long")
 
@@ -373,7 +382,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     two = members.where("size = 2").groupBy("block").agg(F.min("id").alias("u"), F.max("id").alias("v")).select("u", "v")
     large = members.where("size > 2")
-    first = refined(two.union(search(large.withColumn("component", F.col("id")), True)))
+    alone = large.withColumn("component", F.col("id")).withColumn("names", F.array().cast("array<long>"))
+    first = refined(two.union(search(alone, True)))
     ends = cut(first.select(F.col("u").alias("id")).union(first.select(F.col("v").alias("id"))).distinct())
     few = F.broadcast(ends) if ends.count() <= BROADCAST_IDS else ends
     whole = _table(texts.join(few, "id", "left_semi").dropDuplicates(["id"]), "ends")
@@ -387,7 +397,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     left = large.join(few, "id", "left_semi").join(label.select(F.col("node").alias("id"), "component"), "id", "left")
     left = cut(left.withColumn("component", F.coalesce("component", "id")))
     mixed = left.groupBy("block").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("block")
-    second = refined(search(left.join(mixed, "block", "left_semi"), False)).join(first, ["u", "v"], "left_anti")
+    left = left.join(mixed, "block", "left_semi")
+    names = left.groupBy("id").agg(F.slice(F.sort_array(F.collect_set("block")), 1, NAMES).alias("names"))
+    second = refined(search(left.join(names, "id"), False)).join(first, ["u", "v"], "left_anti")
     more = linked(second)
     if more.limit(1).count():
         label = components(links.union(more))
