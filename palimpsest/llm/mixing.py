@@ -75,7 +75,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     size. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
-    rows = rows.withColumn("rank", F.xxhash64("id")).withColumn("part", F.shiftrightunsigned("rank", 40).cast("int") % parts)
+    name = F.sha1(F.encode(F.coalesce(F.col("id").cast("string"), F.lit("")), "UTF-8"))
+    rows = rows.withColumn("rank", F.conv(F.substring(name, 1, 15), 16, 10).cast("long")).withColumn("part", F.shiftright("rank", 40).cast("int") % parts)
     sums = rows.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
     targets = source_targets(sums.groupBy("source").agg(F.sum("part_size").alias("source_size")), weights, passes)
     ahead = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)

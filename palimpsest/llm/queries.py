@@ -50,7 +50,8 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to their sources' targets along a curriculum."""
-    return mixing.mix(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    out = mixing.mix(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return out.withColumn("position", F.round("position", 9))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,4 +92,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-SQL: dict[str, str] = {}
+_ASCII = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_WORDS = r"'[^\x20\x09-\x0D]+'"
+_T = "sqrt((1 - k) * (1 - k) + 4 * k * (o / target))"
+
+SQL: dict[str, str] = {
+    "op2_ngram_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_ASCII}), {_WORDS}) AS w FROM documents),
+        g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, chr(1))]
+              ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], chr(1))))) END AS s FROM w),
+        u AS (SELECT doc_id, unnest(s) AS x FROM g),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM u a JOIN u b USING (x) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM p JOIN g ga ON ga.doc_id = a JOIN g gb ON gb.doc_id = b WHERE 100 * k >= 75 * (len(ga.s) + len(gb.s) - k)),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT doc_id AS d, doc_id AS m FROM g UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.d)
+        SELECT doc_id, len(s)::BIGINT AS n_shingles, (SELECT min(m) FROM r WHERE d = doc_id) AS component_id,
+               CASE WHEN len(s) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY s) END AS class_id FROM g""",
+    "op6_mixing": f"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {_WORDS}))::BIGINT AS size, ('0x' || substr(sha1(doc_id::VARCHAR), 1, 15))::BIGINT AS h FROM documents),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM d GROUP BY source),
+        c AS (SELECT *, [5, 2, 1][(i % 3 + 1)::INT] AS w, 3 * source_size AS cap FROM s),
+        q AS (SELECT *, sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0) AS lw, sum(w) OVER () - coalesce(sum(w) OVER b, 0) AS lg
+              FROM c WINDOW b AS (ORDER BY cap / w, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        f AS (SELECT lw, lg, cap / w AS r, i FROM q WHERE cap * lg > w * lw ORDER BY cap / w, i LIMIT 1),
+        t AS (SELECT q.source, q.i, source_size, CASE WHEN f.r IS NULL OR (cap / w, q.i) < (f.r, f.i) THEN cap::DOUBLE ELSE w::DOUBLE * f.lw::DOUBLE / f.lg::DOUBLE END AS target FROM q LEFT JOIN f ON true),
+        o AS (SELECT doc_id, size, source_size, target, [-0.5, 0.0, 0.5][(i % 3 + 1)::INT]::DOUBLE AS k,
+              coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY (h >> 40) % 4096, h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o
+              FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        x AS (SELECT *, list_transform(range(3), lambda j: greatest(0, least(size, floor(target)::BIGINT - o - j * source_size))) AS p FROM o)
+        SELECT doc_id, size, source_size, target, list_sum(p)::BIGINT AS taken, len(list_filter(p, lambda y: y > 0))::INT AS copies,
+               CASE WHEN list_sum(p) > 0 THEN round(CASE WHEN k = 0 THEN o / target ELSE 2 * (o / target) / ((1 - k) + {_T}) END, 9) END AS position FROM x""",
+    "op7_warc": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+        m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS head FROM p)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN head = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN head <> page_id THEN head END AS refers_to FROM m""",
+}
