@@ -371,8 +371,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def search(members: DataFrame, first_round: bool) -> DataFrame:
         vector = F.col("coarse" if first_round else "fine").alias("vector")
-        out = _split(members.drop("size").withColumn("name", F.col("block")).join(points.select("id", "n", vector), "id"), first_round, block_rows)
-        out = out.repartition(parts, "block").sortWithinPartitions("block", "id")
+        out = _split(members.drop("size").withColumn("name", F.col("block")), first_round, block_rows)
+        # vectors come last, so that they are shuffled by block once
+        out = out.join(points.select("id", "n", vector), "id").repartition(parts, "block").sortWithinPartitions("block", "id")
         return out.mapInArrow(_search(threshold, first_round), "u long, v long")
 
     def refined(pairs: DataFrame) -> DataFrame:
