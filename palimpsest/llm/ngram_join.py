@@ -15,9 +15,10 @@ works on one text of each class.
 
 Texts in large groups of near copies aren't expanded into all pairs. A first round verifies
 for each text of a block its best partner and the block's most central text, and finds the
-connected components. The second round verifies every surviving pair whose ends are still in
-different components. So no link between components is lost, and links within one
-aren't listed.
+connected components; a text is marked in each block where it has candidates besides those.
+The second round takes the marked texts and all members of blocks that are split, and verifies
+every surviving pair whose ends are still in different components. So no link between
+components is lost, and links within one aren't listed.
 """
 
 from __future__ import annotations
@@ -209,12 +210,15 @@ def _search(t: int, first_round: bool):
 
     The first round takes coarse vectors and pairs each member with its best partner and with
     the block's centre; the second takes fine ones and all pairs of different components.
+    Rows with a block are marks of the first round: u has candidates there that aren't paired.
+    A candidate pair that is not told is marked at both ends, as the bound is symmetric.
     """
     per = COARSE if first_round else FINE
 
-    def pairs(ids: np.ndarray, sizes: np.ndarray, fine: list[np.ndarray], group: np.ndarray, side: np.ndarray, names: list[frozenset], own: int) -> set[tuple[int, int]]:
+    def pairs(ids: np.ndarray, sizes: np.ndarray, fine: list[np.ndarray], group: np.ndarray, side: np.ndarray, names: list[frozenset], own: int) -> tuple[set[tuple[int, int]], list[int]]:
         points = np.array([fold(v, DIMS) for v in fine])
         found: set[tuple[int, int]] = set()
+        marked: list[int] = []
         tree = CountTree(sizes, points)
         folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -249,10 +253,12 @@ def _search(t: int, first_round: bool):
             if first_round and len(at):
                 best = int(at[np.argmax(shared / (sizes[at] + sizes[i]))])
                 chosen = [best, centre] if centre is not None and centre in at else [best]
+                if len(at) > len(set(chosen)):
+                    marked.append(int(ids[i]))
             else:
                 chosen = [j for j in at if not any(x < own for x in names[i] & names[j])]
             found.update((min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))) for j in chosen)
-        return found
+        return found, marked
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[tuple[int, int]] = set()
@@ -262,18 +268,24 @@ def _search(t: int, first_round: bool):
             vectors, names, own = (table.column(c).to_pylist() for c in ("vector", "names", "name"))
             start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             new: set[tuple[int, int]] = set()
+            marks: list[tuple[int, int]] = []
             for a, b in zip(start, np.append(start[1:], len(keys)), strict=True):
                 if b - a < 2:
                     continue
                 fine = [vector_of(v, n, per) for v, n in zip(vectors[a:b], sizes[a:b].tolist(), strict=True)]
                 two = chunk[a:b].min() != chunk[a:b].max()
-                new |= pairs(ids[a:b], sizes[a:b], fine, group[a:b], chunk[a:b] if two else None, [frozenset(x) for x in names[a:b]], own[a])
+                found, marked = pairs(ids[a:b], sizes[a:b], fine, group[a:b], chunk[a:b] if two else None, [frozenset(x) for x in names[a:b]], own[a])
+                new |= found
+                marks += [(i, own[a]) for i in marked]
             new -= told
             told |= new
             if len(told) > 2_000_000:
                 told.clear()
             both = np.array(sorted(new), dtype=np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.nulls(len(both), pa.int64())], names=["u", "v", "block"])
+            if marks:
+                at = np.array(marks, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(at[:, 0]), pa.nulls(len(at), pa.int64()), pa.array(at[:, 1])], names=["u", "v", "block"])
 
     return run
 
@@ -374,7 +386,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         out = _split(members.drop("size").withColumn("name", F.col("block")), first_round, block_rows)
         # vectors come last, so that they are shuffled by block once
         out = out.join(points.select("id", "n", vector), "id").repartition(parts, "block").sortWithinPartitions("block", "id")
-        return out.mapInArrow(_search(threshold, first_round), "u long, v long")
+        return out.mapInArrow(_search(threshold, first_round), "u long, v long, block long")
 
     def refined(pairs: DataFrame) -> DataFrame:
         near = _both(pairs.distinct(), points, ("n", "n", "m"), ("fine", "a", "b"))
@@ -384,23 +396,26 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     two = members.where("size = 2").groupBy("block").agg(F.min("id").alias("u"), F.max("id").alias("v")).select("u", "v")
     large = members.where("size > 2")
     alone = large.withColumn("component", F.col("id")).withColumn("names", F.array().cast("array<long>"))
-    first = refined(two.union(search(alone, True)))
-    ends = cut(first.select(F.col("u").alias("id")).union(first.select(F.col("v").alias("id"))).distinct())
-    few = F.broadcast(ends) if ends.count() <= BROADCAST_IDS else ends
-    whole = _table(texts.join(few, "id", "left_semi").dropDuplicates(["id"]), "ends")
+    found = _table(search(alone, True), "found")
+    first = refined(two.union(found.where("block is null").select("u", "v")))
 
     def linked(pairs: DataFrame) -> DataFrame:
+        ends = cut(pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct())
+        few = F.broadcast(ends) if ends.count() <= BROADCAST_IDS else ends
+        whole = _table(texts.join(few, "id", "left_semi").dropDuplicates(["id"]), "ends")
         return cut(_both(pairs, whole, ("text", "a", "b")).mapInArrow(_linked(lower, k, threshold), "u long, v long"))
 
     links = linked(first)
     label = components(links)
-    # a text without a partner in the first round has none in the second
-    left = large.join(few, "id", "left_semi").join(label.select(F.col("node").alias("id"), "component"), "id", "left")
+    # chunks alone can't tell which members of a split block have candidates
+    left = found.where("block is not null").select("block", F.col("u").alias("id"))
+    left = left.union(large.where(F.col("size") > block_rows).select("block", "id")).distinct()
+    left = left.join(label.select(F.col("node").alias("id"), "component"), "id", "left")
     left = cut(left.withColumn("component", F.coalesce("component", "id")))
     mixed = left.groupBy("block").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("block")
     left = left.join(mixed, "block", "left_semi")
     names = left.groupBy("id").agg(F.slice(F.sort_array(F.collect_set("block")), 1, NAMES).alias("names"))
-    second = refined(search(left.join(names, "id"), False)).join(first, ["u", "v"], "left_anti")
+    second = refined(search(left.join(names, "id"), False).select("u", "v")).join(first, ["u", "v"], "left_anti")
     more = linked(second)
     if more.limit(1).count():
         label = components(links.union(more))

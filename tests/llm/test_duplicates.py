@@ -4,6 +4,8 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from palimpsest.llm import components, ngram_join, suffix_dedup
@@ -45,6 +47,40 @@ def test_join_finds_all_components(docs, texts, block_rows):
     assert {r.id: (r.n_shingles, r.component_id) for r in rows} == {i: (len(sets[i]), c) for i, c in enumerate(linked_components(sets))}
 
 
+def test_join_links_across_the_chunks_of_a_split_block(spark):
+    """Three texts share a passage, two of them link, and a block of three is split."""
+    rows = []
+    for i in range(0, 90, 3):
+        say = lambda name, k, i=i: [f"{name}{i}x{j}" for j in range(k)]
+        passage = say("p", 60)
+        rows += [(i + j, " ".join(passage + say("uvw"[j], (3, 4, 30)[j]))) for j in range(3)]
+    want = linked_components(shingle_sets([t for _, t in rows]))
+    assert [want[i] for i in range(3)] == [0, 0, 2]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.id: r.component_id for r in ngram_join.ngram_components(df, block_rows=2).collect()} == dict(enumerate(want))
+
+
+def test_first_round_marks_what_it_does_not_pair():
+    """Every pair of a block that the coarse bound leaves is paired, or marked at both ends."""
+    rng = np.random.default_rng(3)
+    common = rng.integers(0, 2**63, 200).astype(np.uint64)
+    sets = [np.unique(np.concatenate([common[: 200 - 2 * (i % 20)], rng.integers(0, 2**63, i % 20).astype(np.uint64)])) for i in range(60)]
+    n = [len(s) for s in sets]
+    vectors = [ngram_join.count_vector(s, ngram_join.COARSE) for s in sets]
+    block = pa.RecordBatch.from_pydict({
+        "block": [7] * 60, "id": list(range(60)), "n": n, "component": list(range(60)), "chunk": [0] * 60,
+        "vector": [v.tobytes() for v in vectors], "names": [[]] * 60, "name": [9] * 60,
+    })
+    out = pa.Table.from_batches(ngram_join._search(75, True)(iter([block]))).to_pylist()
+    told = {(r["u"], r["v"]) for r in out if r["block"] is None}
+    marked = {r["u"] for r in out if r["block"] == 9}
+    assert told and marked
+    for i in range(60):
+        for j in range(i + 1, 60):
+            if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j])):
+                assert (i, j) in told or {i, j} <= marked
+
+
 def test_join_of_nothing_and_of_null_ids(spark, nothing):
     assert ngram_join.ngram_components(nothing).count() == 0
     rows = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (4, None)], "doc_id long, text string")
