@@ -117,6 +117,22 @@ def test_long_repeat_fails(spark):
     assert not rows[1].base_failed and not rows[1].kept and rows[1].longest_repeat == 300 and rows[2].kept
 
 
+def test_short_repeats_fail(spark):
+    rng = random.Random(5)
+    fresh = [f"w{rng.randrange(10**6)}" for _ in range(90)]
+    stutter = [w for w in fresh[:10] for _ in range(8)]
+    phrases = [w for i in range(0, 30, 3) for w in fresh[i : i + 3] * 2 + [f"x{i}"]]
+    some = fresh[:60] + fresh[3:9] + ["end"]
+    said = [stutter, phrases, some, fresh]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(said)], "doc_id long, text string")
+    rows = {r.id: r for r in quality_rules.apply_rules(df).collect()}
+    assert [(rows[i].base_failed, rows[i].kept) for i in range(4)] == [(False, False), (False, False), (False, True), (False, True)]
+    for i, w in enumerate(said):
+        c = Counter(tuple(w[j : j + 3]) for j in range(len(w) - 2))
+        again = {k for j in range(len(w) - 2) if c[tuple(w[j : j + 3])] > 1 for k in range(j, j + 3)}
+        assert rows[i].short_repeat_chars == sum(len(w[k]) for k in again)
+
+
 def brute_items(texts, items):
     bag = lambda w: [tuple(w[j : j + 5]) for j in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)]
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
