@@ -6,6 +6,8 @@ posting lists are capped in length, so no join key can be hot; only candidates a
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -194,6 +196,49 @@ def dense_scores(queries: DataFrame, records: DataFrame, bits: int = 8, dims: in
     return pairs.select("query_id", "record_id", V.cosine(F.col("q_vector"), F.col("r_vector")).alias("cosine"))
 
 
+def _cell(k: int, digits: int):
+    """The k best records of a cell for each of its queries."""
+
+    def unit(table: pa.Table) -> np.ndarray:
+        rows = np.array(table.column("vector").to_pylist(), dtype=np.float64)
+        size = np.linalg.norm(rows, axis=1, keepdims=True)
+        return np.divide(rows, size, out=np.zeros_like(rows), where=size > 0)
+
+    def run(queries: pa.Table, records: pa.Table) -> pa.Table:
+        asked, own, best = queries.column("query_id").to_numpy(), records.column("record_id").to_numpy(), []
+        left, right = (unit(queries), unit(records)) if len(asked) and len(own) else (None, None)
+        by_id = np.argsort(own, kind="stable")
+        for a in range(0, len(asked) if len(own) else 0, 64):
+            scores = np.round(left[a : a + 64] @ right[by_id].T, digits)
+            scores[asked[a : a + 64, None] == own[by_id]] = -np.inf
+            for i, row in enumerate(scores):
+                least = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
+                at = np.flatnonzero((row >= least) & (row > -np.inf))
+                at = at[np.argsort(-row[at], kind="stable")[:k]]
+                best.append((np.full(len(at), asked[a + i]), own[by_id[at]], row[at]))
+        columns = [np.concatenate(c) for c in zip(*best, strict=True)] if best else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table({"query_id": pa.array(columns[0], pa.int64()), "record_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
+
+    return run
+
+
+def dense_top_k(queries: DataFrame, records: DataFrame, k: int, digits: int = 6, query_rows: int = 4_096, record_rows: int = 16_384) -> DataFrame:
+    """(query_id, record_id, score, rank): the k records of highest cosine, rounded; ties go to the lower id.
+
+    Exact: every query is compared with every other record, a block of queries with a block of
+    records at a time, so the work is their product. Ids are longs; a record of the query's own
+    id and null vectors don't count.
+    """
+    q = queries.where("vector is not null").select(F.col("query_id").cast("long").alias("query_id"), "vector")
+    r = records.where("vector is not null").select(F.col("record_id").cast("long").alias("record_id"), "vector")
+    n_q, n_r = -(-q.count() // query_rows) or 1, -(-r.count() // record_rows) or 1
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int").alias("q_block"), every(n_r).alias("r_block"))
+    r = r.select("record_id", "vector", F.pmod(F.xxhash64("record_id"), F.lit(n_r)).cast("int").alias("r_block"), every(n_q).alias("q_block"))
+    cells = q.groupBy("q_block", "r_block").cogroup(r.groupBy("q_block", "r_block"))
+    return top_k(cells.applyInArrow(_cell(k, digits), "query_id long, record_id long, score double"), k)
+
+
 def dense_rerank(pairs: DataFrame) -> DataFrame:
     """pairs (cosine, q_terms, r_terms, query, entity, attribute) with the fixed reranker's score."""
     q, e, a = F.lower("query"), F.lower(F.trim("entity")), F.lower(F.trim("attribute"))

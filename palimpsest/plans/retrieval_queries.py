@@ -133,6 +133,11 @@ def q_dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.top_k(pairs, 5)
 
 
+def q_dense_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of each query vector among all; q_dense_topk, and its SQL, seek only near signatures."""
+    return R.dense_top_k(*vectors(spark, sf_dir), 5)
+
+
 def q_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors by signature, and the bits between each and the first one of its label."""
     e = read_table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("v")).withColumn("code", V.signature(F.col("v"), BITS, DIMS))
@@ -190,7 +195,7 @@ def q_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        q_lexical_topk, q_evidence_hits, q_address_hits, q_bm25, q_bm25_pools, q_lexical_rag, q_record_scores, q_page_scores, q_read_gates, q_dense_topk, q_signatures,
+        q_lexical_topk, q_evidence_hits, q_address_hits, q_bm25, q_bm25_pools, q_lexical_rag, q_record_scores, q_page_scores, q_read_gates, q_dense_topk, q_dense_exact_topk, q_signatures,
         q_dense_rerank, q_chunk_overlap, q_hops, q_evidence_chain, q_centroids,
     )
 }
