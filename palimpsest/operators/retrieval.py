@@ -17,6 +17,8 @@ from ..functions import vectors as V
 
 #: Posting list caps and score weights.
 EVIDENCE_CAP, ADDRESS_CAP, VALUE_CAP, RARE_RECORD_CAP, RARE_PAGE_CAP = 64, 256, 128, 32, 8
+#: Candidates of reranking: dense ones, and the records of a term or an address at most.
+DENSE_CANDIDATES, RERANK_TERM_CAP, RERANK_ADDRESS_CAP, ADDRESS_CHARS = 32, 256, 512, 4
 WEIGHTS = {"lexical": 0.25, "token_overlap": 0.45, "rare_lexical": 1.25, "shape_bonus": 0.35, "structured_bonus": 0.15}
 READ_THRESHOLD, EVIDENCE_TOKENS = 0.65, 3
 
@@ -229,8 +231,9 @@ def dense_top_k(queries: DataFrame, records: DataFrame, k: int, digits: int = 6,
     records at a time, so the work is their product. Ids are longs; a record of the query's own
     id and null vectors don't count.
     """
-    q = queries.where("vector is not null").select(F.col("query_id").cast("long").alias("query_id"), "vector")
-    r = records.where("vector is not null").select(F.col("record_id").cast("long").alias("record_id"), "vector")
+    # aliases, as both may come from one table
+    q = queries.where("vector is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").alias("vector"))
+    r = records.where("vector is not null").select(F.col("record_id").cast("long").alias("record_id"), F.col("vector").alias("vector"))
     n_q, n_r = -(-q.count() // query_rows) or 1, -(-r.count() // record_rows) or 1
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     q = q.select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int").alias("q_block"), every(n_r).alias("r_block"))
@@ -239,6 +242,34 @@ def dense_top_k(queries: DataFrame, records: DataFrame, k: int, digits: int = 6,
     return top_k(cells.applyInArrow(_cell(k, digits), "query_id long, record_id long, score double"), k)
 
 
+def contained_addresses(queries: DataFrame, records: DataFrame, cap: int = RERANK_ADDRESS_CAP) -> DataFrame:
+    """(query_id, record_id): records whose entity or attribute, of at most `cap` records, occurs in the query.
+
+    An address in a query has its first four characters there, so the join is on those.
+    """
+    chars = queries.select("query_id", F.lower(F.trim("query")).alias("q")).select("query_id", "q", F.split("q", "").alias("c")).where(F.size("c") >= ADDRESS_CHARS)
+    gram = F.transform(F.sequence(F.lit(0), F.size("c") - ADDRESS_CHARS), lambda i: F.concat(*(F.get("c", i + j) for j in range(ADDRESS_CHARS))))
+    grams = chars.select("query_id", F.explode(F.array_distinct(gram)).alias("gram"))
+    out = None
+    for field in ("entity", "attribute"):
+        own = records.select("record_id", F.lower(F.trim(field)).alias("address")).where(F.length("address") >= ADDRESS_CHARS)
+        few = own.groupBy("address").count().where(F.col("count") <= cap).select("address", F.substring("address", 1, ADDRESS_CHARS).alias("gram"))
+        near = grams.join(few, "gram").join(chars.select("query_id", "q"), "query_id").where(F.col("q").contains(F.col("address")))
+        hits = near.select("query_id", "address").join(own, "address").select("query_id", "record_id")
+        out = hits if out is None else out.union(hits)
+    return out.distinct()
+
+
+def rerank_candidates(queries: DataFrame, records: DataFrame, k: int = DENSE_CANDIDATES) -> DataFrame:
+    """(query_id, record_id): the k nearest vectors, all records of rare terms, and those of contained addresses.
+
+    queries has query, tokens and vector; records has entity, attribute, tokens and vector.
+    """
+    dense = dense_top_k(queries, records, k, digits=12).select("query_id", "record_id")
+    out = dense.union(lexical_candidates(queries, records, RERANK_TERM_CAP)).union(contained_addresses(queries, records))
+    return out.where("query_id <> record_id").distinct()
+
+
 def dense_rerank(pairs: DataFrame) -> DataFrame:
     """pairs (cosine, q_terms, r_terms, query, entity, attribute) with the fixed reranker's score."""
     q, e, a = F.lower("query"), F.lower(F.trim("entity")), F.lower(F.trim("attribute"))

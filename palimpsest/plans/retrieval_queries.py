@@ -159,6 +159,17 @@ def q_dense_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.top_k(R.dense_rerank(pairs).select("query_id", "record_id", F.round("score", 6).alias("score")), 3)
 
 
+def q_dense_rerank_united(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As q_dense_rerank, of all candidates: the exact dense top 32 united with the records of rare terms and of addresses."""
+    q, r = vectors(spark, sf_dir)
+    d = read_table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" ", "source", "text").alias("query"), "source", "lang", T.terms(F.col("text")).alias("tokens"))
+    q = q.join(d.withColumnRenamed("doc_id", "query_id"), "query_id").select("query_id", "query", "tokens", "vector")
+    r = r.join(d.toDF("record_id", "query", "entity", "attribute", "tokens"), "record_id").select("record_id", "entity", "attribute", "tokens", "vector")
+    pairs = R.rerank_candidates(q, r).join(q.toDF("query_id", "query", "q_terms", "q_vector"), "query_id").join(r.toDF("record_id", "entity", "attribute", "r_terms", "r_vector"), "record_id")
+    pairs = pairs.withColumn("cosine", V.cosine(F.col("q_vector"), F.col("r_vector")))
+    return R.top_k(R.dense_rerank(pairs).select("query_id", "record_id", F.round("score", 6).alias("score")), 3)
+
+
 def q_chunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three chunks of 1,800 characters that share most terms with each item."""
     c = read_table(spark, sf_dir, "documents").select("doc_id", F.explode(T.chunks(F.col("text"))).alias("c"))
@@ -196,7 +207,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         q_lexical_topk, q_evidence_hits, q_address_hits, q_bm25, q_bm25_pools, q_lexical_rag, q_record_scores, q_page_scores, q_read_gates, q_dense_topk, q_dense_exact_topk, q_signatures,
-        q_dense_rerank, q_chunk_overlap, q_hops, q_evidence_chain, q_centroids,
+        q_dense_rerank, q_dense_rerank_united, q_chunk_overlap, q_hops, q_evidence_chain, q_centroids,
     )
 }
 

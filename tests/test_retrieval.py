@@ -1,10 +1,15 @@
-"""Exact vector search against brute force."""
+"""Exact vector search and reranking against brute force."""
+
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from palimpsest.functions import text as T
 from palimpsest.operators import retrieval as R
 from palimpsest.plans import registry, retrieval_queries
+from palimpsest.sources.files import read_table
 
 
 def brute(queries, records, k):
@@ -45,3 +50,37 @@ def test_blocks_do_not_change_the_result(spark, rows):
     got = found(R.dense_top_k(q, r, 4, query_rows=rows, record_rows=rows))
     assert got == brute({i: v for i, v in vectors.items() if i % 5 == 0}, vectors, 4)
     assert R.dense_top_k(q, r.where("false"), 4).count() == 0
+
+
+def test_candidates_unite_dense_terms_and_addresses(spark):
+    near = [(i, "src", "en", ["common"], [1.0, 0.01 * i]) for i in range(1, 5)]
+    far = [(5, "src", "en", ["common", "x17"], [-1.0, 0.0]), (6, "Unit-42", "en", ["other"], [-1.0, 0.1]), (7, "abc", "none", ["other"], [-1.0, 0.2]), (8, "src", "Deep Blue", ["other"], [-1.0, 0.3])]
+    r = spark.createDataFrame(near + far, "record_id long, entity string, attribute string, tokens array<string>, vector array<float>")
+    q = spark.createDataFrame([(1, "ask unit-42 abc of deep blue", ["x17", "ask"], [1.0, 0.0])], "query_id long, query string, tokens array<string>, vector array<float>")
+    assert {x.record_id for x in R.rerank_candidates(q, r, 2).collect()} == {2, 3, 5, 6, 8}
+
+
+def test_registered_rerank_matches_brute_force(spark, sf_dir):
+    q, r = retrieval_queries.vectors(spark, sf_dir)
+    asked, d = {x.query_id for x in q.collect()}, read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text", T.terms(F.col("text")).alias("terms"))
+    d = {x.doc_id: x for x in d.collect()}
+    v = {x.record_id: x.vector for x in r.collect() if x.record_id in d}
+    ids = sorted(v)
+    m = np.array([v[i] for i in ids], dtype=float)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    post = Counter(t for i in ids for t in set(d[i].terms))
+    named = {f: Counter(d[i][f].strip().lower() for i in ids) for f in ("source", "lang")}
+    got = found(registry.QUERIES["q_dense_rerank_united"](spark, sf_dir))
+    assert got.keys() == asked & v.keys()
+    for i in got:
+        text, own, rows = f"{d[i].source} {d[i].text}".lower(), set(d[i].terms), []
+        cosine = m @ m[ids.index(i)]
+        dense = {ids[j] for j in [j for j in np.argsort(-cosine, kind="stable") if ids[j] != i][:32]}
+        for j, x in enumerate(ids):
+            shared, names = own & set(d[x].terms), {f: d[x][f].strip().lower() for f in named}
+            address = any(len(n) >= 4 and n in text and named[f][n] <= 512 for f, n in names.items())
+            if x != i and (x in dense or address or any(post[t] <= 256 for t in shared)):
+                lexical = len(shared) / max(1, len(own) * len(set(d[x].terms))) ** 0.5
+                score = 0.35 * (cosine[j] + 1) / 2 + 0.15 * lexical + 0.3 * (names["source"] != "" and names["source"] in text) + 0.2 * (names["lang"] != "" and names["lang"] in text)
+                rows.append((-round(score, 6), x))
+        assert got[i] == [x for _, x in sorted(rows)[:3]]
