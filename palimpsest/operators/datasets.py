@@ -126,7 +126,8 @@ def hard_negatives(episodes: DataFrame, items: DataFrame, k: int = 8, seed: str
     rest = rest.withColumn("_l", F.row_number().over(W.partitionBy("_salt", "_part").orderBy(order, "item_id"))).where(F.col("_l") <= 1)
     far = e.join(rest, "_salt").where("group_id <> _g and attribute <> _a").select("episode_id", "item_id", F.lit(2).alias("pool"))
     own = key(F.col("episode_id").cast("string"), F.col("item_id").cast("string"))
-    pooled = near.union(like).union(far).groupBy("episode_id", "item_id").agg(F.min("pool").alias("pool"))
+    # one shuffle by episode serves the aggregate and both windows
+    pooled = near.union(like).union(far).repartition("episode_id").groupBy("episode_id", "item_id").agg(F.min("pool").alias("pool"))
     pooled = pooled.withColumn("_n", F.row_number().over(W.partitionBy("episode_id", "pool").orderBy(own, "item_id")))
     quota = F.when(F.col("pool") == 2, k // 2).otherwise(k // 4)
     ranked = pooled.withColumn("place", F.row_number().over(W.partitionBy("episode_id").orderBy(F.col("_n") > quota, "pool", "_n", "item_id")))

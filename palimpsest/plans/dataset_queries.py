@@ -53,17 +53,17 @@ def q_even_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _items(spark, sf_dir).where("item_id % 25 = 0").withColumn("episode_id", F.col("item_id") * 10)
+    return _items(spark, sf_dir).withColumn("episode_id", F.col("item_id") * 10)
 
 
 def q_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight negatives of every twenty-fifth document, from three pools."""
+    """Eight negatives of every document, from three pools."""
     return D.hard_negatives(_episodes(spark, sf_dir), _items(spark, sf_dir), 8)
 
 
 def q_negative_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What must hold of the negatives: their number, distinctness, and no conflict with the positive."""
-    e = _episodes(spark, sf_dir)
+    """What must hold of the negatives of every twenty-fifth document, as in the SQL: their number, distinctness, and no conflict with the positive."""
+    e = _episodes(spark, sf_dir).where("item_id % 25 = 0")
     n = D.hard_negatives(e, _items(spark, sf_dir), 8).join(_items(spark, sf_dir).toDF("item_id", "n_group", "n_attribute"), "item_id")
     j = n.join(e.select("episode_id", "group_id", "attribute"), "episode_id")
     bad = (F.col("n_group") == F.col("group_id")) & (F.col("n_attribute") == F.col("attribute"))
