@@ -28,7 +28,9 @@ LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 KINDS = ("assign", "access", "hex", "pem_key", "der_key", "openssh_key", "signed_token")
 
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+#: Lines may end in an escaped newline; headers, with the cipher and its start value, come before the body.
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?:\s|\\[nr])+[A-Za-z-]+: [^\n\\]*)*)((?:[A-Za-z0-9+/=\s]|\\[nr])+)-----END \1-----")
+_CIPHER = re.compile(r"DEK-Info: ([A-Z0-9-]+),((?:[0-9A-Fa-f]{16}){1,2})\s*$", re.MULTILINE)
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 _HEX_BLOB = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{2}){24,}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:[0-9A-F]{2}){24,}(?![0-9A-Za-z])")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
@@ -58,18 +60,67 @@ def _der_items(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | N
     return items
 
 
-def is_der_key(data: bytes) -> bool:
-    """A DER sequence, nested lengths included, that starts as private keys do: with a version."""
-    outer = _der_items(data, 0, len(data))
-    if not outer or len(outer) != 1 or outer[0][0] != 0x30:
+#: Constructed values within constructed values that are followed.
+MOST_DEPTH = 16
+_INTEGER, _OCTETS, _NAME, _SEQUENCE = 0x02, 0x04, 0x06, 0x30
+
+
+def _nested(data: bytes, at: int, end: int, depth: int = MOST_DEPTH) -> list[tuple[int, int, int]] | None:
+    """The values of data[at:end], if they and all that constructed ones hold add up; else None."""
+    items = _der_items(data, at, end)
+    if items is None or not depth:
+        return None
+    for tag, a, b in items:
+        if tag & 0x20 and _nested(data, a, b, depth - 1) is None:
+            return None
+    return items
+
+
+def _is_positive(data: bytes, at: int, end: int) -> bool:
+    """A DER integer above 0 without a needless leading byte."""
+    if at == end or data[at] & 0x80 or end - at == 1 and not data[at]:
+        return False
+    return not (data[at] == 0 and end - at > 1 and data[at + 1] < 0x80)
+
+
+def is_der_key(data: bytes, depth: int = 2) -> bool:
+    """A private key in DER: a sequence that starts with a version and, nested lengths included, adds up.
+
+    After the version come five positive integers or more (RSA, DSA), an octet string of a scalar's
+    size (EC), or an algorithm's name and an octet string that is opened and must hold a key, a
+    scalar or an integer itself (PKCS #8).
+    """
+    outer = _nested(data, 0, len(data))
+    if not outer or len(outer) != 1 or outer[0][0] != _SEQUENCE:
         return False
     inner = _der_items(data, outer[0][1], outer[0][2])
-    if not inner or len(inner) < 2 or inner[0][0] != 0x02 or inner[0][2] - inner[0][1] != 1 or data[inner[0][1]] > 3:
+    if not inner or len(inner) < 2 or inner[0][0] != _INTEGER or inner[0][2] - inner[0][1] != 1 or data[inner[0][1]] > 3:
         return False
-    for tag, a, b in inner[1:]:
-        if tag & 0x20 and _der_items(data, a, b) is None:
-            return False
-    return inner[1][0] in (0x02, 0x04, 0x30)
+    tag, a, b = inner[1]
+    tagged = lambda rest: all(t & 0xC0 == 0x80 for t, _, _ in rest)
+    if tag == _INTEGER:
+        return len(inner) >= 6 and all(t == _INTEGER and _is_positive(data, x, y) for t, x, y in inner[1:6]) and all(t in (_INTEGER, _SEQUENCE) for t, _, _ in inner[6:])
+    if tag == _OCTETS:
+        return 16 <= b - a <= 66 and tagged(inner[2:])
+    if tag != _SEQUENCE or len(inner) < 3 or inner[2][0] != _OCTETS or not depth or not tagged(inner[3:]):
+        return False
+    name = _der_items(data, a, b)
+    body = data[inner[2][1] : inner[2][2]]
+    own = _der_items(body, 0, len(body))
+    if not name or name[0][0] != _NAME or name[0][1] == name[0][2] or not own or len(own) != 1:
+        return False
+    kind, x, y = own[0]
+    return kind == _OCTETS and 16 <= y - x <= 66 or kind == _INTEGER and _is_positive(body, x, y) or is_der_key(body, depth - 1)
+
+
+def is_encrypted_key(data: bytes | None) -> bool:
+    """An encrypted PKCS #8 key: an algorithm's name with parameters, and an octet string."""
+    outer = _nested(data, 0, len(data)) if data else None
+    inner = _der_items(data, outer[0][1], outer[0][2]) if outer and len(outer) == 1 and outer[0][0] == _SEQUENCE else None
+    if not inner or [t for t, _, _ in inner] != [_SEQUENCE, _OCTETS] or inner[1][2] - inner[1][1] < 16:
+        return False
+    name = _der_items(data, inner[0][1], inner[0][2])
+    return bool(name) and name[0][0] == _NAME
 
 
 def is_openssh_key(data: bytes) -> bool:
@@ -136,8 +187,11 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     inside: list[tuple[int, int]] = []
     if "-----BEGIN" in text:
         for m in _PEM.finditer(text):
-            data = decode_base64("".join(m[2].split()))
-            if key_kind(data) or (m[1].startswith("ENCRYPTED") and data and _der_items(data, 0, len(data))):
+            data = decode_base64("".join(re.sub(r"\\[nr]", "", m[3]).split()))
+            cipher = _CIPHER.search(m[2].replace("\\n", "\n")) if "ENCRYPTED" in m[2] else None
+            # an encrypted body is whole blocks, as long as the start value
+            blocks = cipher and data and len(data) >= 32 and len(data) % (len(cipher[2]) // 2) == 0
+            if key_kind(data) or m[1].startswith("ENCRYPTED") and is_encrypted_key(data) or blocks:
                 out.append((m.start(), m.end(), "pem_key"))
                 inside.append(m.span())
     if "eyJ" in text:

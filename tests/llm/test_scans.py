@@ -29,6 +29,13 @@ def integer(n, size):
 
 
 KEY = der(b"\x02\x01\x00", *(integer(7 + i, 130) for i in range(6)))
+OID = b"\x06\x03\x2a\x03\x04"
+octets = lambda data: b"\x04" + (bytes([len(data)]) if len(data) < 128 else b"\x82" + len(data).to_bytes(2, "big")) + data
+VERSION = b"\x02\x01\x00"
+PKCS8 = der(VERSION, der(OID, b"\x05\x00"), octets(KEY))
+EC = der(b"\x02\x01\x01", octets(b"k" * 32), b"\xa0\x05" + OID)
+ED = der(VERSION, der(OID), octets(octets(b"s" * 32)))
+LOCKED = der(der(OID, der(octets(b"salt" * 2))), octets(b"c" * 48))
 OPENSSH = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (1).to_bytes(4, "big") + b"".join(len(x).to_bytes(4, "big") + x for x in (b"p" * 40, b"q" * 90))
 b64 = lambda data: base64.urlsafe_b64encode(json.dumps(data).encode()).decode().rstrip("=")
 TOKEN = f"{b64({'alg': 'HS256'})}.{b64({'sub': '1'})}.c2lnbmF0dXJl"
@@ -47,6 +54,18 @@ TOKEN = f"{b64({'alg': 'HS256'})}.{b64({'sub': '1'})}.c2lnbmF0dXJl"
         ("-----BEGIN PRIVATE KEY-----\n" + base64.b64encode(b"not a key" * 9).decode() + "\n-----END PRIVATE KEY-----", []),
         ("k " + base64.b64encode(KEY).decode(), ["der_key"]),
         ("k " + base64.b64encode(KEY[:-1]).decode(), []),
+        ("k " + base64.b64encode(PKCS8).decode(), ["der_key"]),
+        ("k " + base64.b64encode(EC).decode(), ["der_key"]),
+        ("k " + base64.b64encode(ED).decode(), ["der_key"]),
+        ("k " + base64.b64encode(der(VERSION, der(OID), octets(b"no key in here" * 5))).decode(), []),
+        ("k " + base64.b64encode(der(VERSION, der(b"\x05\x00"), octets(KEY))).decode(), []),
+        ("k " + base64.b64encode(der(VERSION, *(b"\x02\x02\x00\x01" for _ in range(9)), octets(b"x" * 9))).decode(), []),
+        ("k " + base64.b64encode(der(b"\x02\x01\x01", octets(b"k" * 32), b"\xa0\x05\x06\x09\x2a\x03\x04")).decode(), []),
+        ("-----BEGIN ENCRYPTED PRIVATE KEY-----\n" + base64.b64encode(LOCKED).decode() + "\n-----END ENCRYPTED PRIVATE KEY-----", ["pem_key"]),
+        ("-----BEGIN ENCRYPTED PRIVATE KEY-----\n" + base64.b64encode(KEY[:-4]).decode() + "\n-----END ENCRYPTED PRIVATE KEY-----", []),
+        ("-----BEGIN PRIVATE KEY-----\\n" + base64.b64encode(PKCS8).decode() + "\\n-----END PRIVATE KEY-----", ["pem_key"]),
+        ("-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC," + "0A" * 16 + "\n\n" + base64.b64encode(b"z" * 64).decode() + "\n-----END RSA PRIVATE KEY-----", ["pem_key"]),
+        ("-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC," + "0A" * 16 + "\n\n" + base64.b64encode(b"z" * 63).decode() + "\n-----END RSA PRIVATE KEY-----", []),
         ("k " + base64.b64encode(OPENSSH).decode(), ["openssh_key"]),
         ("h " + KEY.hex(), ["hex", "der_key"]),
         (TOKEN, ["signed_token"]),
@@ -71,6 +90,29 @@ def test_base_spans_stay(spark):
     assert [r.text for r in secrets.redact(df, "text").orderBy("doc_id").collect()] == ["é [secret] [secret] [secret] [secret]", None, ""]
 
 
+def test_base_spans_of_a_whole_table(spark, sf_dir):
+    """The contract's patterns, said once more, over all documents; confirmed spans only come on top."""
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    table = table.union(spark.createDataFrame([(None, "token=abcdefg"), (None, None)], "doc_id long, text string"))
+    assign = re.compile(r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
+    rows = {r.id: r for r in secrets.digest(secrets.find_secrets(table)).collect() if r.id is not None}
+    assert len(rows) == table.where("doc_id is not null").count()
+    found = 0
+    for r in table.where("doc_id is not null").collect():
+        t = r.text or ""
+        own = [("assign", m.start(), m.end()) for m in assign.finditer(t) if len(m[2]) >= 6]
+        own += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        own += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        own.sort(key=lambda s: (s[1], ("assign", "access", "hex").index(s[0])))
+        said = [f"{k}:{a}:{b}" for k, a, b in own]
+        got = rows[r.doc_id]
+        assert (got.n_assign, got.n_access, got.n_hex) == tuple(sum(k == x for x, _, _ in own) for k in ("assign", "access", "hex"))
+        assert got.base_sha256 == hashlib.sha256(",".join(said).encode()).hexdigest()
+        assert [x for x in got.spans.split(",") if x.split(":")[0] in ("assign", "access", "hex")] == said
+        found += len(own)
+    assert found > 20 and secrets.find_secrets(table.where("false")).count() == 0
+
+
 def longest_repeat(w):
     best, covered = 0, set()
     for i in range(len(w)):
