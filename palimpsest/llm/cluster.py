@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset, as in tests, a temporary one."""
+    """The folder of spark.checkpoint.dir; where it is unset, a temporary one, but only if master is local.
+
+    On a cluster a folder of one machine would be missed by the others, so there it is an error.
+    """
     held = spark.sparkContext.getCheckpointDir()
     if held is None:
-        held = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
+        held = spark.conf.get("spark.checkpoint.dir", None)
+        if held is None:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            held = tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(held)
         held = spark.sparkContext.getCheckpointDir()
     return held
@@ -27,3 +35,10 @@ def cut(df: DataFrame) -> DataFrame:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new place in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def table(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read back."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

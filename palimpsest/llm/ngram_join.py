@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import cut, fresh_path
+from .cluster import cut
+from .cluster import table as _table
 from .components import components
 from .words import mix, shingles_of, words_of
 
@@ -428,10 +429,3 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("id")).alias("class_id"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
     )
-
-
-def _table(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read back."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
