@@ -10,7 +10,8 @@ their common prefixes. A stack scan over those lengths yields the common-prefix
 In an interval of depth d every two suffixes share d bytes; where the bytes before them
 differ (left-extension diversity), members fall into sub-groups by how far they agree to the
 left, which makes the maximal repeats with all their occurrences. Exact copies of a whole text
-are found beforehand, and only one of them takes part.
+are found beforehand, and only one of them takes part. Groups of many members, as a passage of
+many texts makes, are split by the bytes around the anchor first.
 """
 
 from __future__ import annotations
@@ -24,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import cut, fresh_path
+from .cluster import cut
+from .cluster import table as _table
 from .words import mix, powers, steps, utf8_of
 
 LEAST, ANCHOR = 400, 160
-#: Groups with more members (about 100 MB in a task) are not sorted in one task; their windows are
-#: counted instead.
-GROUP_ROWS = 100_000
+#: A group with more members is split by the bytes around the anchor. Bands that a band is cut into.
+GROUP_ROWS, BANDS = 4_000, 4
 _PLACE_BITS = np.uint64(30)
 
 _BYTE = np.arange(1, 257, dtype=np.uint64)
@@ -216,22 +217,50 @@ def _repeat_rows(least: int):
     return run
 
 
-def _window_rows(least: int, size: int):
-    """(anchor, shift, window, id, start): every window around each anchor in `marks`."""
-    contexts = _contexts(least, size)
+def _split_spans(contexts: DataFrame, least: int, size: int, group_rows: int) -> DataFrame:
+    """(id, start, end) of what repeats cover around the anchors of large groups.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in contexts(batches):
-            out = []
-            for r in batch.to_pylist():
-                h = window_hashes(np.frombuffer(r["before"][::-1] + r["after"], dtype=np.uint8), least)
-                shift = np.arange(len(h)) - len(r["before"])
-                own = [np.full(len(h), r["anchor"]), shift, h.view(np.int64), np.full(len(h), r["id"]), shift + r["place"]]
-                out.append(np.stack([x.astype(np.int64) for x in own]))
-            rows = np.concatenate([np.zeros((5, 0), np.int64), *out], axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["anchor", "shift", "window", "id", "start"])
-
-    return run
+    contexts has (anchor, id, place, before, after). A window that begins s bytes before the anchor
+    shares with an equal one s bytes to the left and least - s to the right. For a band of s two such
+    members agree in its core, the bytes that all its windows hold, so a group falls into smaller ones
+    by cores. Members that agree in all bytes of the band are repeats of each other as far as the
+    band reaches, and one of them stays for the others. A group that is still large is split by
+    narrower bands; in a band of one s the core is the window, and nothing is left to compare.
+    """
+    spark = contexts.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    whole = width = least - size + 1
+    level, spans = _table(contexts.withColumn("low", F.lit(0)), "contexts"), []
+    while True:
+        high = F.least(F.col("low") + width, F.lit(whole))
+        rows = level.withColumn("high", high).withColumn("n_left", F.least(F.octet_length("before"), F.col("high") - 1))
+        rows = rows.withColumn("n_right", F.least(F.octet_length("after"), least - F.col("low"))).where(f"greatest(low, {least} - n_right) <= n_left")
+        bytes_of = lambda c, n: F.expr(f"substring({c}, 1, {n})")
+        name = F.encode(F.concat_ws(",", "n_left", "n_right"), "UTF-8")
+        rows = rows.select(
+            "anchor", "low", "id", "place", "n_left", "n_right", bytes_of("before", "n_left").alias("before"), bytes_of("after", "n_right").alias("after"),
+            F.sha2(F.concat(bytes_of("before", "low"), bytes_of("after", f"{least} - high + 1")), 256).alias("core"),
+            F.sha2(F.concat(name, bytes_of("before", "n_left"), bytes_of("after", "n_right")), 256).alias("content"),
+        )
+        keys = ["anchor", "low", "core"]
+        one = F.min(F.struct("id", "place", "before", "after")).alias("one")
+        classes = _table(rows.groupBy(*keys, "content").agg(F.count("*").alias("n"), one), "classes")
+        copied = classes.where("n > 1").select("anchor", "low", "content")
+        spans.append(rows.join(copied, ["anchor", "low", "content"]).select("id", (F.col("place") - F.col("n_left")).alias("start"), (F.col("place") + F.col("n_right")).alias("end")))
+        groups = cut(classes.groupBy(*keys).agg(F.count("*").alias("k")).where("k > 1"))
+        members = classes.join(groups, keys).select("anchor", "low", "core", "k", "one.*")
+        few = members.where(f"k <= {group_rows}").select(F.xxhash64("anchor", "low", "core").alias("anchor"), "id", "place", "before", "after")
+        spans.append(few.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_repeat_rows(least), "id long, start long, end long"))
+        if width == 1 or not groups.where(F.col("k") > group_rows).limit(1).count():
+            break
+        step = -(-width // BANDS)
+        lows = F.explode(F.sequence(F.col("low"), F.least(F.col("low") + width, F.lit(whole)) - 1, F.lit(step))).alias("low")
+        level = _table(members.where(f"k > {group_rows}").select("anchor", lows, "id", "place", "before", "after"), "contexts")
+        width = step
+    out = spans[0]
+    for more in spans[1:]:
+        out = out.union(more)
+    return out
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,28 +300,23 @@ def repeat_spans(texts: DataFrame, heads: DataFrame, least: int = LEAST, anchor:
     marks = found.join(often, "anchor").groupBy("id").agg(F.collect_list(F.struct("place", "anchor", "members")).alias("marks"))
     alone = dealt.where("size(runs) > 0").select("id", "runs")
     marks = marks.join(alone, "id", "full").withColumn("marks", F.coalesce("marks", F.array().cast("array<struct<place:int,anchor:long,members:long>>")))
-    path = fresh_path(spark, "marked")
-    texts.join(marks, "id").dropDuplicates(["id"]).write.parquet(path)
-    marked = spark.read.parquet(path)
+    marked = _table(texts.join(marks, "id").dropDuplicates(["id"]), "marked")
 
     kinds = "anchor long, members long, id long, place int, before binary, after binary"
-    of = lambda rule: marked.select("id", "text", F.filter("marks", rule).alias("marks")).where("size(marks) > 0")
-    few = of(lambda m: m["members"] <= group_rows).mapInArrow(_contexts(least, anchor), kinds).repartition(parts, "anchor").sortWithinPartitions("anchor")
+    of = lambda rule: marked.select("id", "text", F.filter("marks", rule).alias("marks")).where("size(marks) > 0").mapInArrow(_contexts(least, anchor), kinds)
+    few = of(lambda m: m["members"] <= group_rows).repartition(parts, "anchor").sortWithinPartitions("anchor")
     spans = few.mapInArrow(_repeat_rows(least), "id long, start long, end long")
     spans = spans.union(marked.where("runs is not null").select("id", F.inline("runs")))
     if often.where(F.col("members") > group_rows).limit(1).count():
-        kinds = "anchor long, shift long, window long, id long, start long"
-        windows = of(lambda m: m["members"] > group_rows).mapInArrow(_window_rows(least, anchor), kinds)
-        again = windows.groupBy("anchor", "shift", "window").count().where("count > 1").drop("count")
-        more = windows.join(again, ["anchor", "shift", "window"]).groupBy("id", "start").agg((F.first("start") + least).alias("end"))
-        spans = spans.union(more)
+        large = of(lambda m: m["members"] > group_rows).drop("members")
+        spans = spans.union(_split_spans(large, least, anchor, group_rows))
     return marked.select("id", "text"), spans
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, anchor: int = ANCHOR, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256), one row for each row of docs.
+    """(id, n_bytes, n_removed, n_spans, kept_sha256, repeats), one row for each row of docs.
 
-    Removed is each UTF-8 byte that a `least`-byte string covers which also starts elsewhere,
+    repeats says whether anything is removed. Removed is each UTF-8 byte that a `least`-byte string covers which also starts elsewhere,
     in the same text or another. Null texts are empty; texts shorter than `least` lose nothing.
     Whole texts that occur twice lose everything, every copy. id_col must be a long that is
     different for each row; identical rows under one id count as copies of each other. Rows
@@ -315,4 +339,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, F.lit(nothing)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        (whole | (F.coalesce("n_removed", F.lit(0)) > 0)).alias("repeats"),
     )

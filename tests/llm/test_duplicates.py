@@ -112,10 +112,30 @@ def expected_removal(texts, least):
     return out
 
 
-@pytest.mark.parametrize(("least", "anchor", "group_rows"), [(400, 160, 100_000), (400, 160, 2), (60, 20, 100_000)])
+@pytest.mark.parametrize(("least", "anchor", "group_rows"), [(400, 160, 4_000), (400, 160, 2), (60, 20, 4_000), (60, 20, 1)])
 def test_repeats_are_removed_to_the_byte(docs, texts, least, anchor, group_rows):
     rows = suffix_dedup.remove_repeats(docs, least=least, anchor=anchor, group_rows=group_rows).collect()
     assert {r.id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == expected_removal(texts, least)
+    assert all(r.repeats == (r.n_removed > 0) for r in rows)
+
+
+@pytest.mark.parametrize("group_rows", [3, 4_000])
+def test_a_passage_of_many_texts_is_split(spark, group_rows):
+    """A common passage at any place, cut at any length, in texts that also share more with some others."""
+    rng = np.random.default_rng(group_rows)
+    say = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8)).decode()
+    common, texts = say(180), []
+    for i in range(90):
+        left, right = say(rng.integers(0, 90)), say(rng.integers(0, 90))
+        if i % 3 and texts:
+            other = texts[-1].split(common[40:90])
+            left, right = (say(3) + other[0][rng.integers(0, 9) :], right) if i % 2 else (left, other[-1] + say(4))
+            texts.append(left + common[40:90].join(["", ""]) + right if rng.random() < 0.5 else left + common + right)
+        else:
+            texts.append(left + common[: rng.integers(60, 181)] + right)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = suffix_dedup.remove_repeats(df, least=60, anchor=24, group_rows=group_rows).collect()
+    assert {r.id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == expected_removal(texts, 60)
 
 
 def test_repeats_of_nothing(nothing):
