@@ -18,7 +18,10 @@ LEAST_QUALITY = 0.3
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose quality score reaches LEAST_QUALITY."""
+    """Rows whose quality score reaches LEAST_QUALITY.
+
+    A null or empty text has the score of a text without features; equal texts have equal scores.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     fold = lambda key: F.crc32(F.encode(key, "UTF-8")) % 5 != 0
     model = quality_model.train(docs, labels, "doc_id", "text", "quality", fold)
@@ -26,24 +29,35 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least id; rows without id stay."""
+    """Of each group of linked documents the one with the least id.
+
+    Rows that share an id are one document: they stay or go together. Rows without id stay.
+    """
     found = ngram_join.ngram_components(docs.select("doc_id", "text"))
-    dropped = found.where("id <> component_id").select(F.col("id").alias("_dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"] == F.col("_dropped"), "left_anti")
+    dropped = found.where("id <> component_id").select(F.col("id").alias("dropped")).distinct()
+    return docs.join(dropped, docs["doc_id"] == dropped["dropped"], "left_anti")
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold no benchmark item."""
+    """Rows that hold no benchmark item; null and empty texts hold none, repeated rows are judged alike."""
     return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each copy that the mix takes of a document, in the order of training."""
+    """A row for each copy that the mix takes of a document, in the order of training.
+
+    Documents without words, null texts among them, are in no copy. Null sources are one source;
+    rows that repeat an id, or have none, keep their own copies.
+    """
     return mixing.mixed_documents(docs)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, size, text_crc32, shard, slot) of each row."""
+    """(doc_id, size, text_crc32, shard, slot) of each row.
+
+    A null text counts as an empty one; rows that repeat an id, or have none, are rows of their
+    own; equal texts share a shard.
+    """
     return sharding.shard(docs).withColumnRenamed("id", "doc_id")
 
 
