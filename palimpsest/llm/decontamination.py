@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cluster import tidy
 from .words import Words, run_hashes, words_of
 
 SHINGLE_WORDS, THRESHOLD = 5, 0.75
@@ -170,7 +171,7 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     kinds = "id long, item_id long, similarity double, first_word long, n_words long"
     out = None
     for part in _collected(items, item_id_col, item_text_col, most_items):
-        found = rows.mapInArrow(_rows(docs.sparkSession.sparkContext.broadcast(build_index(part, radius=radius)), radius, threshold), kinds)
+        found = rows.mapInArrow(tidy(_rows(docs.sparkSession.sparkContext.broadcast(build_index(part, radius=radius)), radius, threshold)), kinds)
         out = found if out is None else out.union(found)
     return docs.sparkSession.createDataFrame([], kinds) if out is None else out
 
@@ -195,7 +196,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     """The rows of docs whose text holds no item, with all their columns; nothing moves."""
     at = docs.columns.index(text_col)
     for part in _collected(items, item_id_col, item_text_col, most_items):
-        docs = docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(build_index(part, radius=radius)), at, radius, threshold), docs.schema)
+        docs = docs.mapInArrow(tidy(_clean(docs.sparkSession.sparkContext.broadcast(build_index(part, radius=radius)), at, radius, threshold)), docs.schema)
     return docs
 
 

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cluster import tidy
 from .words import Words, mix, powers, words_of
 
 BITS = 20
@@ -114,8 +115,8 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     """At most `most` rows (_id, _label, _text) that `trains` (of the id as text) accepts.
 
     Taken in the order of a hash of the id, so the sample doesn't depend on the table's layout.
-    Labels of one id are averaged and rounded; rows with null labels or texts are left out. The ids that are
-    broadcast and the rows that come to the driver are bounded by `most`.
+    Labels of one id are averaged and rounded; rows with null labels or texts are left out. The
+    ids that are broadcast and the rows are bounded by `most`.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).where(trains(F.col(id_col).cast("string")))
     known = known.groupBy(F.col(id_col).alias("_id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("_label"))
@@ -124,22 +125,87 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     return rows.select("_id", "_label", "_text").dropDuplicates(["_id"])
 
 
-def sample_features(rows: DataFrame, features: Features) -> list[tuple[int, int, np.ndarray]]:
-    """(id, label, sorted buckets) of the sample's rows, in the order of ids."""
+def feature_rows(rows: DataFrame, features: Features, pairs_of: Callable[[str], list[tuple[str, str]]] | None = None) -> DataFrame:
+    """(id, label, buckets, other) of the sample's rows, and of the pairs of texts that pairs_of makes of them.
+
+    Of a pair, label is null and buckets and other are the sorted buckets of its texts; of a row,
+    other is null.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (("id", pa.int64()), ("label", pa.int32()), ("buckets", pa.list_(pa.int32())), ("other", pa.list_(pa.int32())))
         for batch in batches:
             for words in words_of(batch.column(2)):
                 row, bucket = distinct(*features(words))
                 offs = np.searchsorted(row, np.arange(words.n_rows + 1)).astype(np.int32)
                 own = pa.ListArray.from_arrays(pa.array(offs), pa.array(bucket.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(x).slice(words.first, words.n_rows) for x in (0, 1)] + [own], names=["id", "label", "buckets"])
+                ids, labels = (batch.column(x).slice(words.first, words.n_rows) for x in (0, 1))
+                yield pa.RecordBatch.from_arrays([ids, labels.cast(pa.int32()), own, pa.nulls(words.n_rows, kinds[3][1])], names=[n for n, _ in kinds])
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True) if pairs_of else ():
+                found = [(of_text(a, features), of_text(b, features)) for a, b in pairs_of(text)]
+                if found:
+                    left, right = zip(*found, strict=True)
+                    columns = [[key] * len(found), [None] * len(found), left, right]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kinds, strict=True)], names=[n for n, _ in kinds])
+
+    return rows.select(F.col("_id").cast("long"), "_label", "_text").mapInArrow(tidy(run), "id long, label int, buckets array<int>, other array<int>")
+
+
+def _lists(lists: pa.ListArray) -> list[np.ndarray]:
+    """The lists as views of their values; nulls are empty."""
+    flat, offs = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(offs[:-1], offs[1:], strict=True)]
+
 
-    table = rows.select(F.col("_id").cast("long"), "_label", "_text").mapInArrow(run, "id long, label int, buckets array<int>").toArrow()
-    lists = table.column("buckets").combine_chunks()
-    flat, offs = lists.flatten().to_numpy(), lists.offsets.to_numpy()
-    ids, labels = table.column("id").to_numpy(), table.column("label").to_numpy()
-    return [(int(ids[i]), int(labels[i]), flat[offs[i] - offs[0] : offs[i + 1] - offs[0]]) for i in np.argsort(ids, kind="stable")]
+def fit_apart(rows: DataFrame, fit: Callable[[list[tuple[int, np.ndarray]], list[tuple[np.ndarray, np.ndarray]]], dict]) -> dict:
+    """What fit makes of the feature_rows: labelled rows in the order of ids, and pairs.
+
+    fit runs in one task, as the sample is bounded, so that neither the sample nor the fitting is
+    the driver's; only the model comes back. fit returns numbers and one array `weights` over the
+    buckets, of which those other than 0 are sent.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, pairs = [], []
+        for batch in batches:
+            keys, labels, first, second = batch.column(0).to_pylist(), batch.column(1).to_pylist(), _lists(batch.column(2)), None
+            for i, (key, label) in enumerate(zip(keys, labels, strict=True)):
+                if label is None:
+                    second = second or _lists(batch.column(3))
+                    pairs.append((first[i], second[i]))
+                else:
+                    rows.append((key, label, first[i]))
+        rows.sort(key=lambda r: r[0])
+        labelled = [r[1:] for r in rows]
+        model = fit(labelled, pairs)
+        weights = model.pop("weights")
+        at = np.flatnonzero(weights)
+        yield pa.RecordBatch.from_pydict({
+            "bucket": pa.array([at.astype(np.int32)], pa.list_(pa.int32())), "weight": pa.array([weights[at]], pa.list_(pa.float64())),
+            "name": pa.array([list(model)], pa.list_(pa.string())), "number": pa.array([[float(x) for x in model.values()]], pa.list_(pa.float64())),
+        })
+
+    out = rows.repartition(1).mapInArrow(tidy(run), "bucket array<int>, weight array<double>, name array<string>, number array<double>").toArrow()
+    if not len(out):  # no task ran, as there were no rows
+        return fit([], [])
+    weights = np.zeros(1 << BITS)
+    weights[out.column("bucket")[0].values.to_numpy()] = out.column("weight")[0].values.to_numpy()
+    return dict(zip(out.column("name")[0].as_py(), out.column("number")[0].as_py(), strict=True)) | {"weights": weights}
+
+
+def slices(rows: list[np.ndarray], n: int = 256) -> Iterator[np.ndarray]:
+    """The values of n rows at a time, so that no copy of all of them is made."""
+    for i in range(0, len(rows), n):
+        yield np.concatenate(rows[i : i + n])
+
+
+def compact(rows: list[np.ndarray], chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows' buckets among the chosen, as places there: starts of each row, and the places."""
+    place = np.full(1 << BITS, -1, dtype=np.int32)
+    place[chosen] = np.arange(len(chosen))
+    sizes = np.array([np.count_nonzero(place[r] >= 0) for r in rows], dtype=np.int64)
+    kept = (place[x] for x in slices(rows))
+    return np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([np.zeros(0, np.int32), *(x[x >= 0] for x in kept)])
 
 
 def row_margins(words: Words, features: Features, weights: np.ndarray, bias: float, by_root: bool) -> np.ndarray:
@@ -167,4 +233,4 @@ def margins(docs: DataFrame, id_col: str, text_col: str, features: Features, wei
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(words.first, words.n_rows), pa.array(out, pa.float64())], names=["id", "margin"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, margin double")
+    return rows.mapInArrow(tidy(run), "id long, margin double")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import cut
+from .cluster import cut, tidy
 from .cluster import table as _table
 from .components import components
 from .words import mix, shingles_of, words_of
@@ -367,7 +367,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     kinds = "id long, n long, k1 long, k2 long, fine binary, coarse binary, shingle long"
-    profile = _table(texts.mapInArrow(_profile(lower, k), kinds), "profile")
+    profile = _table(texts.mapInArrow(tidy(_profile(lower, k)), kinds), "profile")
     often = profile.where("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle")
     last = np.array([r.shingle for r in often.limit(FREQUENT_MOST).collect()], dtype=np.int64).view(np.uint64)
     last = np.sort(last)
@@ -375,11 +375,11 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     heads = cut(rows.where("id is not null and n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("class_id")))
     ids = heads.select(F.col("class_id").alias("id"))
-    prefixes = texts.mapInArrow(_prefixes(lower, k, threshold, last), "id long, shingles array<long>")
+    prefixes = texts.mapInArrow(tidy(_prefixes(lower, k, threshold, last)), "id long, shingles array<long>")
     prefixes = prefixes.join(ids, "id", "left_semi").select(F.explode("shingles").alias("shingle"), "id")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = prefixes.repartition(parts, "shingle").sortWithinPartitions("shingle", "id")
-    members = _table(dealt.mapInArrow(_blocks, "block long, size long, id long").distinct(), "members")
+    members = _table(dealt.mapInArrow(tidy(_blocks), "block long, size long, id long").distinct(), "members")
     points = rows.dropDuplicates(["id"])
 
     def search(members: DataFrame, first_round: bool) -> DataFrame:
@@ -387,12 +387,12 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         out = _split(members.drop("size").withColumn("name", F.col("block")), first_round, block_rows)
         # vectors come last, so that they are shuffled by block once
         out = out.join(points.select("id", "n", vector), "id").repartition(parts, "block").sortWithinPartitions("block", "id")
-        return out.mapInArrow(_search(threshold, first_round), "u long, v long, block long")
+        return out.mapInArrow(tidy(_search(threshold, first_round)), "u long, v long, block long")
 
     def refined(pairs: DataFrame) -> DataFrame:
         near = _both(pairs.distinct(), points, ("n", "n", "m"), ("fine", "a", "b"))
         near = near.where(f"100 * n >= {threshold} * m and {threshold} * n <= 100 * m")
-        return _table(near.mapInArrow(_refine(threshold), "u long, v long"), "pairs")
+        return _table(near.mapInArrow(tidy(_refine(threshold)), "u long, v long"), "pairs")
 
     two = members.where("size = 2").groupBy("block").agg(F.min("id").alias("u"), F.max("id").alias("v")).select("u", "v")
     large = members.where("size > 2")
@@ -404,7 +404,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         ends = cut(pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct())
         few = F.broadcast(ends) if ends.count() <= BROADCAST_IDS else ends
         whole = _table(texts.join(few, "id", "left_semi").dropDuplicates(["id"]), "ends")
-        return cut(_both(pairs, whole, ("text", "a", "b")).mapInArrow(_linked(lower, k, threshold), "u long, v long"))
+        return cut(_both(pairs, whole, ("text", "a", "b")).mapInArrow(tidy(_linked(lower, k, threshold)), "u long, v long"))
 
     links = linked(first)
     label = components(links)

@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .features import BITS, margins, row_margins, sample, sample_features, shape_features
+from .cluster import tidy
+from .features import BITS, compact, feature_rows, fit_apart, margins, row_margins, sample, shape_features, slices
 from .words import words_of
 
 #: Labelled rows to fit on at most; rows that hold an n-gram at least; and n-grams kept.
@@ -31,31 +32,38 @@ class Model:
     n_rows: int
 
 
-def log_ratios(rows: list[tuple[int, np.ndarray]], smooth: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+def log_ratios(labels: np.ndarray, rows: list[np.ndarray], smooth: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """Log ratio of each bucket's share in class 1 to that in class 0, and its number of rows."""
-    counts = np.full((2, 1 << BITS), smooth)
-    for label, buckets in rows:
-        counts[label][buckets] += 1
-    share = counts / counts.sum(axis=1, keepdims=True)
-    return np.log(share[1] / share[0]), counts.sum(axis=0) - 2 * smooth
+    counts = np.zeros((2, 1 << BITS), dtype=np.int64)
+    for k in (0, 1):
+        for part in slices([r for r, y in zip(rows, labels, strict=True) if y == k]):
+            counts[k] += np.bincount(part, minlength=1 << BITS)
+    ratio = np.log(counts[1] + smooth) - np.log(counts[0] + smooth)
+    ratio -= np.log((counts[1].sum() + smooth * (1 << BITS)) / (counts[0].sum() + smooth * (1 << BITS)))
+    return ratio, counts[0] + counts[1]
 
 
-def dual_descent(rows: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, n: int, cost: np.ndarray, epochs: int = 30, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Weights and bias of the linear hinge-loss model, one dual variable at a time."""
+def dual_descent(starts: np.ndarray, columns: np.ndarray, values: np.ndarray, labels: np.ndarray, n: int, cost: np.ndarray, epochs: int = 30, seed: int = 7) -> tuple[np.ndarray, float]:
+    """Weights and bias of the linear hinge-loss model, one dual variable at a time.
+
+    Row i has values[starts[i] : starts[i + 1]] in the columns of that slice.
+    """
     w, bias = np.zeros(n), 0.0
-    alpha = np.zeros(len(rows))
-    norm = np.array([float(v @ v) + 1 for v in values])
+    alpha = np.zeros(len(labels))
+    rows = [(columns[a:b], values[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+    norm = np.array([float(v @ v) + 1 for _, v in rows])
     order = np.arange(len(rows))
     shuffle = np.random.default_rng(seed)
     for _ in range(epochs):
         shuffle.shuffle(order)
         most = 0.0
         for i in order:
-            gradient = labels[i] * (float(w[rows[i]] @ values[i]) + bias) - 1
+            own, v = rows[i]
+            gradient = labels[i] * (float(w[own] @ v) + bias) - 1
             new = min(max(alpha[i] - gradient / norm[i], 0.0), cost[i])
             step = (new - alpha[i]) * labels[i]
             if step:
-                w[rows[i]] += step * values[i]
+                w[own] += step * v
                 bias += step
                 most = max(most, abs(new - alpha[i]))
                 alpha[i] = new
@@ -93,17 +101,17 @@ def fit(rows: list[tuple[int, np.ndarray]], cost: float = 0.1) -> Model:
         return Model(np.zeros(1 << BITS), 0.0, 1.0, float(np.log(share / (1 - share))), len(rows))
 
     def weigh(part: np.ndarray) -> tuple[np.ndarray, float]:
-        ratio, seen = log_ratios([rows[i] for i in part])
+        own = [rows[i][1] for i in part]
+        ratio, seen = log_ratios(labels[part], own)
         chosen = np.flatnonzero(seen >= LEAST_ROWS)
         chosen = np.sort(chosen[np.argsort(-np.abs(ratio[chosen]), kind="stable")[:MOST_FEATURES]])
-        place = np.full(1 << BITS, -1)
-        place[chosen] = np.arange(len(chosen))
-        own = [place[rows[i][1]] for i in part]
-        own = [x[x >= 0] for x in own]
-        values = [ratio[chosen[x]] / max(1.0, np.sqrt(len(x))) for x in own]
+        starts, columns = compact(own, chosen)
+        values = ratio[chosen].astype(np.float32)[columns]
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            values[a:b] /= max(1.0, np.sqrt(b - a))
         y = np.where(labels[part] == 1, 1.0, -1.0)
         each = np.where(y > 0, len(y) / (2 * np.sum(y > 0)), len(y) / (2 * np.sum(y < 0))) * cost
-        w, bias = dual_descent(own, values, y, len(chosen), each)
+        w, bias = dual_descent(starts, columns, values, y, len(chosen), each)
         out = np.zeros(1 << BITS)
         out[chosen] = w * ratio[chosen]
         return out, bias
@@ -125,9 +133,10 @@ def fit(rows: list[tuple[int, np.ndarray]], cost: float = 0.1) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, trains: Callable[[Column], Column], most: int = MOST_ROWS, cost: float = 0.1) -> Model:
-    """Fits on at most `most` labelled rows."""
-    rows = sample(docs, labels, id_col, text_col, label_col, trains, most)
-    return fit([(y, b) for _, y, b in sample_features(rows, shape_features)], cost)
+    """Fits on at most `most` labelled rows, in one task."""
+    rows = feature_rows(sample(docs, labels, id_col, text_col, label_col, trains, most), shape_features)
+    out = fit_apart(rows, lambda labelled, _: vars(fit(labelled, cost)))
+    return Model(out["weights"], out["bias"], out["slope"], out["shift"], int(out["n_rows"]))
 
 
 def scored(docs: DataFrame, model: Model, id_col: str, text_col: str, threshold: float) -> DataFrame:
@@ -166,4 +175,4 @@ def keep(docs: DataFrame, model: Model, text_col: str, threshold: float) -> Data
             good = np.concatenate([np.zeros(0), *marks]) >= least
             yield batch if good.all() else batch.filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

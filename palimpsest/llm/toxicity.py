@@ -1,10 +1,11 @@
 """A toxicity classifier with counterfactual regularisation.
 
 Logistic regression over word and word-beginning indicators. Each labelled text that names an
-identity group gets counterfactuals, in which the group's term is swapped for another; the loss
-adds the squared change of the margin between a text and its counterfactuals, so a neutral
-mention of a group moves no score. Fitted on a bounded sample of labelled rows, applied to
-every row.
+identity group gives counterfactuals: each sentence that names one, with the group's term swapped
+for another. The loss adds the squared change of the margin between a sentence and its
+counterfactuals, so a neutral mention of a group moves no score. Fitted on a bounded sample of
+labelled rows, applied to every row. Where no labelled text names a group there are no pairs, and
+what is left is a logistic model with a ridge; Model.n_pairs tells.
 """
 
 from __future__ import annotations
@@ -17,11 +18,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .features import BITS, margins, of_text, sample, sample_features, word_features
+from .cluster import cut
+from .features import BITS, compact, feature_rows, fit_apart, margins, of_text, sample, word_features
 
-#: Labelled rows to fit on at most, and counterfactuals of one text.
-MOST_ROWS, MOST_SWAPS = 12_000, 3
-#: Identity terms; a term is swapped for the others of its line.
+#: Labelled rows to fit on at most, swaps of one sentence, and counterfactual pairs at most; beyond
+#: that the pairs are chosen by a hash.
+MOST_ROWS, MOST_SWAPS, MOST_PAIRS = 12_000, 3, 50_000
+#: Identity terms in English, French, German and Spanish; a term is swapped for the
+#: others of its line.
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys"),
     ("woman", "man", "girl", "boy"),
@@ -33,7 +37,28 @@ IDENTITY_TERMS = (
     ("immigrants", "refugees", "natives", "foreigners"),
     ("disabled", "deaf", "blind"),
     ("old", "young"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("femme", "homme", "fille", "garçon"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("noirs", "blancs", "asiatiques", "arabes"),
+    ("immigrés", "réfugiés", "étrangers"),
+    ("handicapés", "sourds", "aveugles"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("frau", "mann"),
+    ("muslime", "christen", "juden", "buddhisten", "atheisten"),
+    ("schwule", "lesben", "heterosexuelle"),
+    ("schwarze", "weiße", "asiaten", "araber"),
+    ("einwanderer", "flüchtlinge", "ausländer"),
+    ("behinderte", "gehörlose", "blinde"),
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("mujer", "hombre", "niña", "niño"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("negros", "blancos", "asiáticos", "árabes"),
+    ("inmigrantes", "refugiados", "extranjeros"),
+    ("discapacitados", "sordos", "ciegos"),
+    ("jóvenes", "ancianos"),
 )
+_SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*")
 
 
 @dataclass
@@ -44,19 +69,34 @@ class Model:
     n_pairs: int
 
 
-def counterfactuals(text: str, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, most: int = MOST_SWAPS) -> list[str]:
-    """The text with all its identity terms moved on by 1 to `most` places in their lines."""
-    place = {t: (line, i) for line in terms for i, t in enumerate(line)}
-    found = re.compile(r"\b(" + "|".join(sorted(place, key=len, reverse=True)) + r")\b", re.IGNORECASE)
-    if not found.search(text):
-        return []
-    out = []
-    for step in range(1, most + 1):
-        moved = lambda m, step=step: place[m[0].lower()][0][(place[m[0].lower()][1] + step) % len(place[m[0].lower()][0])]
-        swapped = found.sub(moved, text)
-        if swapped.lower() != text.lower() and swapped not in out:
-            out.append(swapped)
-    return out
+def swapper(terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, most: int = MOST_SWAPS) -> Callable[[str], list[tuple[str, str]]]:
+    """A function from a text to its counterfactual pairs (sentence, sentence with its terms swapped).
+
+    All identity terms of a sentence are moved on by 1 to `most` places in their lines; a term
+    that stands in two lines belongs to the first.
+    """
+    place: dict[str, tuple[tuple[str, ...], int]] = {}
+    for line in terms:
+        for i, term in enumerate(line):
+            place.setdefault(term.lower(), (line, i))
+    if not place:
+        return lambda text: []
+    found = re.compile(r"\b(" + "|".join(map(re.escape, sorted(place, key=len, reverse=True))) + r")\b", re.IGNORECASE)
+
+    def pairs(text: str) -> list[tuple[str, str]]:
+        out: list[tuple[str, str]] = []
+        if not found.search(text):
+            return out
+        for sentence in dict.fromkeys(_SENTENCE.findall(text)):
+            if found.search(sentence):
+                for step in range(1, most + 1):
+                    moved = lambda m, step=step: (at := place[m[0].lower()])[0][(at[1] + step) % len(at[0])]
+                    swapped = found.sub(moved, sentence)
+                    if swapped.lower() != sentence.lower() and (sentence, swapped) not in out[-most:]:
+                        out.append((sentence, swapped))
+        return out
+
+    return pairs
 
 
 def select(rows: list[tuple[int, np.ndarray]], least_rows: int = 4, least_z: float = 2.5) -> np.ndarray:
@@ -73,11 +113,8 @@ def select(rows: list[tuple[int, np.ndarray]], least_rows: int = 4, least_z: flo
 
 def _compact(rows: list[np.ndarray], chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of the chosen buckets."""
-    place = np.full(1 << BITS, -1)
-    place[chosen] = np.arange(len(chosen))
-    own = [place[b] for b in rows]
-    own = [x[x >= 0] for x in own]
-    return np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate([np.zeros(0, np.int64), *own]).astype(np.int64)
+    starts, columns = compact(rows, chosen)
+    return np.repeat(np.arange(len(rows)), np.diff(starts)), columns
 
 
 def fit(rows: list[tuple[int, np.ndarray]], pairs: list[tuple[np.ndarray, np.ndarray]], strength: float = 1.0, ridge: float = 1.0, steps: int = 400) -> Model:
@@ -109,17 +146,14 @@ def fit(rows: list[tuple[int, np.ndarray]], pairs: list[tuple[np.ndarray, np.nda
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, trains: Callable[[Column], Column],
-          terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, most: int = MOST_ROWS, strength: float = 1.0) -> Model:
-    """Fits on at most `most` labelled rows; counterfactuals come from those that name a group."""
-    rows = sample(docs, labels, id_col, text_col, label_col, trains, most).persist()
-    found = sample_features(rows, word_features)
-    named = r"(?i)\b(" + "|".join(t for line in terms for t in line) + r")\b"
-    pairs = []
-    for r in rows.where(F.col("_text").rlike(named) & (F.length("_text") < 20_000)).orderBy("_id").limit(2000).collect():
-        own = of_text(r["_text"], word_features)
-        pairs += [(own, of_text(x, word_features)) for x in counterfactuals(r["_text"], terms)]
-    rows.unpersist()
-    return fit([(y, b) for _, y, b in found], pairs, strength)
+          terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, most: int = MOST_ROWS, strength: float = 1.0, most_pairs: int = MOST_PAIRS) -> Model:
+    """Fits on at most `most` labelled rows, in one task; every sentence of theirs that names a group gives counterfactuals."""
+    rows = cut(feature_rows(sample(docs, labels, id_col, text_col, label_col, trains, most), word_features, swapper(terms)))
+    pairs = rows.where("label is null")
+    if pairs.count() > most_pairs:
+        pairs = pairs.orderBy(F.xxhash64("id", "buckets", "other"), "id").limit(most_pairs)
+    out = fit_apart(rows.where("label is not null").union(pairs), lambda labelled, pairs: vars(fit(labelled, pairs, strength)))
+    return Model(out["weights"], out["bias"], int(out["n_rows"]), int(out["n_pairs"]))
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",

@@ -21,7 +21,7 @@ SPACES = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
 
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[list(SPACES)] = True

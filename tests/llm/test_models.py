@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -36,8 +37,39 @@ def labelled(spark):
 
 
 def test_swaps():
-    assert toxicity.counterfactuals("A woman said so.", most=1) == ["A man said so."]
-    assert toxicity.counterfactuals("nothing here") == []
+    pairs = toxicity.swapper(most=1)
+    assert pairs("Hello. A woman said so. Bye!") == [(" A woman said so.", " A man said so.")]
+    assert pairs("nothing here") == [] == pairs("") and toxicity.swapper(())("a woman") == []
+    assert [b for _, b in toxicity.swapper()("Die Frau kam")] == ["Die mann kam"]
+    assert toxicity.swapper((("orcs", "elves"),))("The ORCS came") == [("The ORCS came", "The elves came")]
+    long = "Filler words come here. " * 5000 + "An old tale."
+    assert toxicity.swapper()(long) == [(" An old tale.", " An young tale.")]
+
+
+def margin_by_hand(model, text):
+    """The model's margin from words and beginnings, one by one."""
+    row = np.unique(features.of_text(text, features.word_features))
+    return sum(model.weights[b] for b in row.tolist()) + model.bias
+
+
+def test_toxicity_scores_are_those_of_the_model(spark, labelled):
+    docs, labels = labelled
+    model = toxicity.train(docs, labels, "doc_id", "text", "toxic", lambda key: F.lit(True))
+    assert model.n_rows == 400 and model.n_pairs > 50
+    again = toxicity.train(docs.repartition(7), labels, "doc_id", "text", "toxic", lambda key: F.lit(True))
+    assert np.array_equal(model.weights, again.weights) and model.bias == again.bias
+    text = {r.doc_id: r.text for r in docs.collect()}
+    twice = docs.union(docs.where("doc_id < 3"))
+    rows = toxicity.scored(twice.withColumnsRenamed({"_label": "margin"}), model, "doc_id", "text", 0.7).collect()
+    assert len(rows) == len(text) + 3
+    for r in rows:
+        assert r.score == pytest.approx(1 / (1 + np.exp(-margin_by_hand(model, text[r.id] or ""))), abs=1e-5)
+
+
+def test_pairs_are_bounded_by_their_parameter_only(labelled):
+    docs, labels = labelled
+    args = (docs, labels, "doc_id", "text", "toxic", lambda key: F.lit(True))
+    assert toxicity.train(*args, most_pairs=7).n_pairs == 7 and toxicity.train(*args, terms=()).n_pairs == 0
 
 
 def test_penalty_frees_neutral_mentions(labelled):
@@ -72,8 +104,21 @@ def test_quality_scores(spark, labelled, nothing):
         texts.append((i, " ".join(x + "###" if bad else x for x in w), int(not bad)))
     docs = spark.createDataFrame([(i, t) for i, t, _ in texts] + [(1000, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, y) for i, _, y in texts], "doc_id long, quality int")
-    rows = {r.id: r for r in quality_model.score(docs, labels, trains=lambda key: F.crc32(F.encode(key, "UTF-8")) % 5 != 0).collect()}
-    assert all(rows[i].predicted == y for i, _, y in texts) and 0 <= rows[1000].score <= 1
+    trains = lambda key: F.crc32(F.encode(key, "UTF-8")) % 5 != 0
+    rows = {r.id: r for r in quality_model.score(docs, labels, trains=trains).collect()}
+    held = [i for i, _, _ in texts if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert len(held) > 30 and all(rows[i].predicted == texts[i][2] for i in held) and 0 <= rows[1000].score <= 1
+    model = quality_model.train(docs, labels, "doc_id", "text", "quality", trains)
+    assert model.n_rows == 300 - len(held)
+    for i, t, _ in texts[:40]:
+        used = model.weights[features.of_text(t, features.shape_features)]
+        used = used[used != 0]
+        margin = used.sum() / max(1.0, np.sqrt(len(used))) + model.bias
+        assert rows[i].score == pytest.approx(1 / (1 + np.exp(-(model.slope * margin + model.shift))), abs=1e-4)
+    clash = docs.withColumns({"margin": F.lit(1), "_text": F.lit("x"), "id": F.lit(0)}).union(docs.withColumns({"margin": F.lit(1), "_text": F.lit("x"), "id": F.lit(0)}).where("doc_id < 9"))
+    kept = quality_model.keep(clash, model, "text", 0.3)
+    good = {i for i, r in rows.items() if r.predicted}
+    assert kept.columns == clash.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i in [*rows, *range(9)] if i in good)
     one = quality_model.score(docs, labels.where("quality = 1"))
     assert one.agg(F.countDistinct("score")).first()[0] == 1
     assert quality_model.score(nothing, labels).count() == 0
@@ -81,7 +126,7 @@ def test_quality_scores(spark, labelled, nothing):
 
 def test_dual_descent_separates():
     rows = [np.array([0]), np.array([1]), np.array([0, 2]), np.array([1, 2])]
-    w, b = quality_model.dual_descent(rows, [np.ones(len(r)) for r in rows], np.array([1.0, -1.0, 1.0, -1.0]), 3, np.full(4, 10.0))
+    w, b = quality_model.dual_descent(np.array([0, 1, 2, 4, 6]), np.concatenate(rows), np.ones(6), np.array([1.0, -1.0, 1.0, -1.0]), 3, np.full(4, 10.0))
     assert [np.sign(w[r].sum() + b) for r in rows] == [1, -1, 1, -1]
 
 
@@ -120,9 +165,52 @@ def test_mix(spark, docs, texts, nothing):
     assert places == sorted(places) and 0 <= places[0] and places[-1] <= 1
     out = mixing.mixed_documents(docs, parts=8)
     assert out.columns == docs.columns and out.count() == sum(r.copies for r in first)
+    check_order(docs, first, [r.doc_id for r in out.collect()])
     assert mixing.mix(nothing).count() == 0 and mixing.mixed_documents(nothing).count() == 0
 
 
+def check_order(docs, planned, order):
+    """Every copy stands where the inverse of its source's demand puts it."""
+    plan = {r.id: r for r in planned}
+    place = {}
+    source = {r.doc_id: r.source for r in docs.select("doc_id", "source").collect()}
+    names = sorted({s for s in source.values() if s is not None}) + [None] * (None in source.values())
+    tilt = {s: mixing.TILTS[i % 3] for i, s in enumerate(names)}
+    for i, r in plan.items():
+        if r.copies:
+            k = tilt[source[i]]
+            # the first copy's position gives the words before it: the integral of the weight
+            words = r.target * (r.position + k * (r.position**2 - r.position))
+            for n in range(r.copies):
+                low, high, want = 0.0, 1.0, (words + n * r.source_size) / r.target
+                for _ in range(60):
+                    mid = (low + high) / 2
+                    low, high = (mid, high) if mid + k * (mid**2 - mid) < want else (low, mid)
+                place.setdefault(i, []).append(low)
+    seen, last = Counter(), 0.0
+    for i in order:
+        at = place[i][seen[i]]
+        seen[i] += 1
+        assert at >= last - 1e-7
+        last = at
+    assert seen == {i: len(x) for i, x in place.items()}
+
+
+def test_mix_keeps_every_row(spark):
+    """Null and repeated ids, clashing names, a capped source and one that comes in part."""
+    rows = [(None, "a b c", "s1", 1, 2, "x"), (None, "d e", "s1", 1, 2, "x"), (7, "f g", "s1", 3, 4, "y"), (7, "f g", "s1", 3, 4, "y"), (7, "h", "s1", 3, 4, "y"), (8, None, "s1", 0, 0, "z")]
+    rows += [(100 + i, " ".join(f"w{j}" for j in range(40)), "s2", 5, 6, "v") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int, position int, row string")
+    plan = mixing.mix(docs, parts=4).collect()
+    assert len(plan) == len(rows)
+    out = mixing.mixed_documents(docs, parts=4)
+    assert out.columns == docs.columns
+    got = Counter((r.doc_id, r.text) for r in out.collect())
+    small = {k: v for k, v in got.items() if k[0] is None or k[0] < 100}
+    assert small == {(None, "a b c"): 3, (None, "d e"): 3, (7, "f g"): 6, (7, "h"): 3}
+    assert sum(got.values()) == sum(r.copies for r in plan)
+
+
 def test_positions_invert_demand(spark):
     df = spark.createDataFrame([(t / 10, k) for t in range(11) for k in (-0.5, 0.0, 0.5)], "t double, k double")
     words = 40.0 * (F.col("t") + F.col("k") * (F.col("t") * F.col("t") - F.col("t")))
@@ -164,6 +252,18 @@ def test_shards(docs, texts, nothing):
     assert sharding.shard(nothing).count() == 0
 
 
+@pytest.mark.parametrize(("units", "n_shards"), [(2, 5), (4, 3), (1 << 16, 4), (4, 1)])
+def test_shards_are_the_best_over_text_groups(spark, units, n_shards):
+    rng = random.Random(units)
+    rows = [(i if i % 7 else None, f"{rng.randrange(40)} " * rng.randrange(1, 30)) for i in range(300)] + [(900, "big " * 3000)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    order = docs.groupBy("text").agg(F.sum(F.length("text") + 1).alias("size")).orderBy(F.xxhash64("text")).collect()
+    got = docs.sparkSession.createDataFrame(sharding.shard(docs, n_shards=n_shards, units=units, salts=2).collect(), "id long, size long, text_crc32 long, shard int, slot long")
+    sums = got.groupBy("shard").agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.countDistinct("slot").alias("slots"), F.max("slot").alias("last")).collect()
+    assert max(r["size"] for r in sums) == best_capacity([r["size"] for r in order], n_shards)
+    assert all(r["n"] == r["slots"] == r["last"] + 1 for r in sums) and got.groupBy("text_crc32").agg(F.countDistinct("shard").alias("k")).where("k > 1").count() == 0
+
+
 def test_features_of_long_and_empty_texts():
     assert len(features.of_text("", features.word_features)) == 0 == len(features.of_text(" \n", features.shape_features))
     assert len(features.of_text("word " * 200_000, features.shape_features)) > 0
