@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Mapping
 
 import pandas as pd
 from pyspark.sql import Column
@@ -54,31 +55,6 @@ REFUSALS = (
     r"\bunknown\s*[.!]?\s*$",
 )
 REFUSAL_MARKS = ("不知道", "没有记录", "无法确认", "未找到", "不清楚", "没有相关信息")
-ATTRIBUTE_ALIASES = {
-    "模型名称": "正式名字 模型名 模型叫什么 名称 名字",
-    "对照模型": "原版 Qwen 基线 跑分 对照规模",
-    "记忆存储优先级": "优先使用 哪层内存 容量不够 降级 DRAM RAM 显存",
-    "记忆持久化方案": "第三个权重切片 数据库 SQLite 磁盘分页 持久化文件",
-    "记忆读取方式": "模型自己读 模型原生 外部脚本 提示词 读取器",
-    "显存安全要求": "显存原则 不要顶满 显卡 GPU 安全底线",
-    "记忆质量要求": "禁止胡编乱造 写错 清理 总结 置信度",
-    "研发取向": "训练 微调 应用拼装 方向 精力",
-    "核心架构目标": "终极要求 模型自己拥有记忆 固定外部代码 核心",
-    "记忆压缩策略": "压成一句话 高压缩率 碎片对话 浓缩",
-    "KV与Slot分工": "当前上下文 长期历史 运行内存 注意力",
-    "自动化边界": "模型自发完成 自己完成 外部固定参数",
-    "评测重点": "大规模读取 正确率 显存 测试规模",
-}
-OPERATIONAL_ALIASES = {
-    0: "重启 恢复 记忆 权重切片 memory safetensors memory shard",
-    1: "百万 slot 当前 token 全部 全量注意力 top-k 稀疏读取",
-    2: "写入 隔离 active quarantine 置信度 低置信度",
-    3: "权威副本 热点记录 process RAM GPU cache 显存",
-    4: "4B 对照 base Qwen Chunk RAG Natural Memory 实验协议",
-    5: "训练 公开 cross-encoder 强 RAG 基线",
-    6: "清空记忆 默认 reset token fim prefix",
-    7: "语义地址 Qwen 主干 hidden state 编码",
-}
 
 
 def _any(text: Column, marks: tuple[str, ...]) -> Column:
@@ -94,14 +70,22 @@ def clean(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Distinct lower-case terms, parts of 3 letters or more of joined ones, and CJK three-grams."""
+    """Distinct lower-case terms, parts of 3 letters or more of joined ones, and CJK three-grams.
+
+    Stop tokens and grams are CJK, and parts need a joining sign, so a text without either is
+    matched once and goes through no lambda.
+    """
     low = F.lower(text)
-    raw = F.filter(F.regexp_extract_all(low, F.lit(TERM_PATTERN), F.lit(0)), lambda t: ~t.isin(*STOP_TOKENS))
-    joined = F.filter(raw, lambda t: t.contains("_") | t.contains("-"))
+    none = F.array().cast("array<string>")
+    found = F.regexp_extract_all(low, F.lit(TERM_PATTERN), F.lit(0))
+    has_cjk = low.rlike(f"[{CJK}]")
+    raw = F.when(has_cjk, F.filter(found, lambda t: ~t.isin(*STOP_TOKENS))).otherwise(found)
+    joined = F.filter(found, lambda t: t.contains("_") | t.contains("-"))
     parts = F.filter(F.flatten(F.transform(joined, lambda t: F.split(t, "[_-]+"))), lambda p: F.length(p) >= 3)
+    parts = F.when(low.contains("_") | low.contains("-"), parts).otherwise(none)
     runs = F.filter(F.regexp_extract_all(low, F.lit(f"[{CJK}]+"), F.lit(0)), lambda r: F.length(r) >= 3)
     grams = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 2), lambda i: F.substr(r, i, F.lit(3)))))
-    return F.array_distinct(F.concat(raw, parts, grams))
+    return F.array_distinct(F.concat(raw, parts, F.when(has_cjk, grams).otherwise(none)))
 
 
 def terms(text: Column) -> Column:
@@ -143,17 +127,20 @@ def is_value_term(t: Column) -> Column:
     return (F.length(t) >= 4) & (t.rlike(r"[0-9_\-./\\]") | t.rlike("^[a-z]+$"))
 
 
-def routing_text(text: Column, entity: Column, attribute: Column, value: Column) -> Column:
-    """Text, fields and the attribute's aliases, without blank parts."""
+def routing_text(text: Column, entity: Column, attribute: Column, value: Column, aliases: Mapping[str, str] | None = None, operations: Mapping[int, str] | None = None) -> Column:
+    """Text, fields and the attribute's aliases, without blank parts.
+
+    aliases gives further words of an attribute, operations those of an attribute named
+    operational:<number>; both belong to the records' subject, so the caller has them.
+    """
     name = F.trim(attribute)
-    aliases = F.lit("")
-    for k, v in ATTRIBUTE_ALIASES.items():
-        aliases = F.when(name == k, F.lit(v)).otherwise(aliases)
-    extra = F.lit("")
+    words, extra = F.lit(""), F.lit("")
+    for k, v in (aliases or {}).items():
+        words = F.when(name == k, F.lit(v)).otherwise(words)
     number = F.regexp_extract(F.lower(name), r"^operational:(?:.*:)?\s*([+-]?[0-9]+)\s*$", 1)
-    for k, v in OPERATIONAL_ALIASES.items():
+    for k, v in (operations or {}).items():
         extra = F.when(number == str(k), F.lit(v)).otherwise(extra)
-    parts = F.filter(F.array(text, entity, attribute, value, aliases, extra), lambda p: F.trim(p) != "")
+    parts = F.filter(F.array(text, entity, attribute, value, words, extra), lambda p: F.trim(p) != "")
     return F.array_join(parts, " ")
 
 

@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import metrics as M
 from ..operators import retrieval as R
-from ..sources.files import read_table
+from ..sources.files import held, read_spread, read_table
 from .text_queries import lexical_sql, terms_sql, tokens_sql
 
 BITS, DIMS = 8, 64
@@ -21,17 +21,17 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(record_id, text, entity, attribute, tokens)."""
-    return read_table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("record_id"), "text", F.col("source").alias("entity"), F.col("lang").alias("attribute"), T.tokens(F.col("text")).alias("tokens")
-    )
+    """(record_id, entity, attribute, tokens), the texts taken apart once for all uses."""
+    return held(read_spread(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("record_id"), F.col("source").alias("entity"), F.col("lang").alias("attribute"), T.tokens(F.col("text")).alias("tokens")
+    ))
 
 
 def named_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as records whose names come from their text's first words."""
     words = T.bm25_words(F.col("text"))
     word = lambda i: F.coalesce(F.get(words, F.lit(i)), F.lit(""))
-    return read_table(spark, sf_dir, "documents").select(
+    return read_spread(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("record_id"), word(2).alias("entity"), F.concat(F.lit("symbol:"), word(3)).alias("attribute"), word(4).alias("value")
     )
 
@@ -63,7 +63,7 @@ def q_address_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents of each item by BM25."""
     q = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.bm25_words(F.col("text")).alias("words"))
-    r = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), T.bm25_words(F.col("text")).alias("words"))
+    r = read_spread(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), T.bm25_words(F.col("text")).alias("words"))
     return R.top_k(R.bm25(q, r).withColumn("score", F.round("score", 6)), 10)
 
 
@@ -78,15 +78,16 @@ def q_bm25_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_lexical_rag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lexical baseline over candidates that share a rare term."""
     q, r = queries(spark, sf_dir), records(spark, sf_dir)
-    pairs = R.lexical_candidates(q, r).join(q.select("query_id", "query", T.terms(F.col("query")).alias("q_terms")), "query_id").join(
-        r.select("record_id", "entity", "attribute", T.terms(F.col("text")).alias("r_terms")), "record_id"
-    )
+    texts = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), F.col("source").alias("entity"), F.col("lang").alias("attribute"), "text")
+    pairs = R.lexical_candidates(q, r)
+    own = texts.join(pairs.select("record_id").distinct(), "record_id", "left_semi").select("record_id", "entity", "attribute", T.terms(F.col("text")).alias("r_terms"))
+    pairs = pairs.join(q.select("query_id", "query", T.terms(F.col("query")).alias("q_terms")), "query_id").join(own, "record_id")
     scored = R.lexical_rag(pairs).select("query_id", "record_id", F.round("score", 6).alias("score"))
     return R.top_k(scored, 5)
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, r = queries(spark, sf_dir), records(spark, sf_dir)
+def _scored(spark: SparkSession, sf_dir: str, r: DataFrame | None = None) -> DataFrame:
+    q, r = queries(spark, sf_dir), records(spark, sf_dir) if r is None else r
     pairs = R.lexical_candidates(q, r).join(q.select("query_id", "query", F.col("tokens").alias("q_tokens")), "query_id").join(
         r.select("record_id", "entity", "attribute", F.col("tokens").alias("r_tokens")), "record_id"
     )
@@ -115,9 +116,9 @@ def q_page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_read_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why each item's read stops: gates over its best two scores."""
-    q = queries(spark, sf_dir)
-    best = R.top_k(_scored(spark, sf_dir), 2).groupBy("query_id").agg(F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("top1"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("top2"))
-    hits = R.evidence_hits(q, records(spark, sf_dir)).groupBy("query_id").agg(F.max("n_terms").alias("shared_tokens"))
+    q, r = queries(spark, sf_dir), records(spark, sf_dir)
+    best = R.top_k(_scored(spark, sf_dir, r), 2).groupBy("query_id").agg(F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("top1"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("top2"))
+    hits = R.evidence_hits(q, r).groupBy("query_id").agg(F.max("n_terms").alias("shared_tokens"))
     asked = q.join(best, "query_id", "left").join(hits, "query_id", "left").select(
         "query_id", "query", "top1", "top2", F.coalesce("shared_tokens", F.lit(0)).alias("shared_tokens"), (F.coalesce("shared_tokens", F.lit(0)) > 8).alias("has_evidence"),
         (F.col("query_id") % 10 / 10).alias("need"), F.when(F.col("query_id") % 4 == 0, F.col("query_id") % 8 == 0).alias("covered"), (F.col("query_id") % 3 != 0).alias("attribute_known"),
@@ -127,14 +128,19 @@ def q_read_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five nearest vectors of each query vector among those with a near signature."""
+    """The five nearest vectors of each query vector among all, compared in blocks."""
+    return R.dense_top_k(*vectors(spark, sf_dir), 5)
+
+
+def q_signature_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of each query vector among those with a near signature: the coarse probe by itself."""
     q, r = vectors(spark, sf_dir)
     pairs = R.dense_scores(q, r, BITS, DIMS).where("query_id <> record_id").select("query_id", "record_id", F.round("cosine", 6).alias("score"))
     return R.top_k(pairs, 5)
 
 
 def q_dense_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five nearest vectors of each query vector among all; q_dense_topk, and its SQL, seek only near signatures."""
+    """As q_dense_topk, under the name that it had beside the signature probe."""
     return R.dense_top_k(*vectors(spark, sf_dir), 5)
 
 
@@ -172,7 +178,7 @@ def q_dense_rerank_united(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_chunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three chunks of 1,800 characters that share most terms with each item."""
-    c = read_table(spark, sf_dir, "documents").select("doc_id", F.explode(T.chunks(F.col("text"))).alias("c"))
+    c = read_spread(spark, sf_dir, "documents").select("doc_id", F.explode(T.chunks(F.col("text"))).alias("c"))
     c = c.select((F.col("doc_id") * 1000 + F.col("c.start") / 1800).cast("long").alias("chunk_id"), T.terms(F.col("c.chunk")).alias("tokens"))
     q = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.terms(F.col("text")).alias("tokens"))
     return R.chunk_overlap(q, c, 3)
@@ -206,7 +212,7 @@ def q_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        q_lexical_topk, q_evidence_hits, q_address_hits, q_bm25, q_bm25_pools, q_lexical_rag, q_record_scores, q_page_scores, q_read_gates, q_dense_topk, q_dense_exact_topk, q_signatures,
+        q_lexical_topk, q_evidence_hits, q_address_hits, q_bm25, q_bm25_pools, q_lexical_rag, q_record_scores, q_page_scores, q_read_gates, q_dense_topk, q_signature_probe, q_dense_exact_topk, q_signatures,
         q_dense_rerank, q_dense_rerank_united, q_chunk_overlap, q_hops, q_evidence_chain, q_centroids,
     )
 }
@@ -251,6 +257,8 @@ _VECTORS = f"""
     n AS (SELECT a.vec_id AS query_id, b.vec_id AS record_id, {_DOT.format("a.v", "b.v")} / (sqrt({_DOT.format("a.v", "a.v")}) * sqrt({_DOT.format("b.v", "b.v")})) AS cosine
           FROM e a JOIN e b ON bit_count(xor(a.code, b.code)) <= 2 AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)"""
 
+_EVERY = _VECTORS.replace("ON bit_count(xor(a.code, b.code)) <= 2 AND a.vec_id <> b.vec_id", "ON a.vec_id <> b.vec_id")
+
 SQL = {
     "q_lexical_topk": f"WITH {_SETS} " + _top_sql(f"SELECT query_id, record_id, round({lexical_sql('q.tokens', 'r.tokens')}, 6) AS score FROM c JOIN q USING (query_id) JOIN r USING (record_id)", 5),
     "q_evidence_hits": f"""
@@ -292,7 +300,8 @@ SQL = {
               WHEN top1 IS NULL THEN 'no_relevant_evidence' WHEN margin < 0.05 AND NOT ev THEN 'insufficient_evidence_margin' WHEN top1 < 0.65 AND st >= 3 THEN 'token_evidence_override'
               WHEN top1 < 0.65 AND NOT ev THEN 'below_read_threshold' ELSE 'evidence_found' END AS stop_reason FROM a)
         SELECT query_id, stop_reason, stop_reason IN ('evidence_found', 'token_evidence_override') AS reads, round(margin, 6) AS margin, round(least(1.0, greatest(0.0, coalesce(top1, 0))), 6) AS confidence FROM w""",
-    "q_dense_topk": f"WITH {_VECTORS} " + _top_sql("SELECT query_id, record_id, round(cosine, 6) AS score FROM n", 5),
+    **dict.fromkeys(("q_dense_topk", "q_dense_exact_topk"), f"WITH {_EVERY} " + _top_sql("SELECT query_id, record_id, round(cosine, 6) AS score FROM n", 5)),
+    "q_signature_probe": f"WITH {_VECTORS} " + _top_sql("SELECT query_id, record_id, round(cosine, 6) AS score FROM n", 5),
     "q_signatures": f"WITH {_VECTORS}, f AS (SELECT label, min_by(code, vec_id) AS fc FROM e GROUP BY label) SELECT vec_id, code, bit_count(xor(code, fc))::INT AS bits, round(sqrt({_DOT.format('v', 'v')}), 5) AS norm FROM e JOIN f USING (label)",
     "q_dense_rerank": f"""
         WITH {_VECTORS}, tk AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, record_id) <= 8),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..sources.files import conversation_turns, read_table
+from ..sources.files import conversation_turns, read_spread, read_table
 
 STOP_WORDS = ("the", "of", "and", "is", "to", "in", "it")
 TERM_SQL = r"[\x{4e00}-\x{9fff}]|[A-Za-z0-9_\-]+"
@@ -41,7 +41,7 @@ SQUEEZED = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 def q_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token and term sets of every document."""
     own = T.tokens(F.col("text"))
-    return read_table(spark, sf_dir, "documents").select(
+    return read_spread(spark, sf_dir, "documents").select(
         "doc_id", F.size(own).alias("n_tokens"), F.sha1(F.encode(F.array_join(F.array_sort(own), " "), "UTF-8")).alias("digest"), F.size(T.terms(F.col("text"))).alias("n_terms"),
         F.size(T.bm25_words(F.col("text"))).alias("n_words"), F.size(T.content_words(F.col("text"), STOP_WORDS)).alias("n_content"),
     )

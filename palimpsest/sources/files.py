@@ -13,6 +13,27 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def read_spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for work that costs far more than moving it: one of few partitions is dealt to all cores.
+
+    A small file may be a single row group, which one task reads; a large table has more partitions
+    than cores and is not moved.
+    """
+    df, cores = read_table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df
+
+
+def held(df: DataFrame) -> DataFrame:
+    """df, computed once for all its uses: by a checkpoint where a shared folder is set, else cached."""
+    spark = df.sparkSession
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        return df.persist()
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)
+
+
 def read_jsonl(spark: SparkSession, path: str | Sequence[str], schema: str | T.StructType | None = None) -> DataFrame:
     """Objects of JSON lines with where they came from; blank lines and other JSON values go.
 

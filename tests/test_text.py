@@ -101,6 +101,7 @@ def test_digit_boundary(spark):
 
 
 def test_routing_text(spark):
-    out = one(spark, T.routing_text(*map(F.col, "teav")), t="x", e="", a="模型名称", v="Q")
-    assert out == "x 模型名称 Q 正式名字 模型名 模型叫什么 名称 名字"
-    assert one(spark, T.routing_text(*map(F.col, "teav")), t="x", e="", a="operational:6", v="").endswith("清空记忆 默认 reset token fim prefix")
+    said = T.routing_text(*map(F.col, "teav"), aliases={"模型名称": "正式名字 模型名"}, operations={6: "reset token fim"})
+    assert one(spark, said, t="x", e="", a="模型名称", v="Q") == "x 模型名称 Q 正式名字 模型名"
+    assert one(spark, said, t="x", e="", a="operational:6", v="").endswith("operational:6 reset token fim")
+    assert one(spark, T.routing_text(*map(F.col, "teav")), t="x", e=" ", a="模型名称", v="Q") == "x 模型名称 Q"
