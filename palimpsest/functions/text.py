@@ -302,7 +302,12 @@ def stable_key(*parts: Column) -> Column:
 
 def hash_share(key: Column) -> Column:
     """The first 32 bits of the key's SHA-1 as a share of their largest value."""
-    return F.conv(F.substring(F.sha1(F.encode(key, "UTF-8")), 1, 8), 16, 10).cast("double") / F.lit(0xFFFFFFFF)
+    return hash_number(key).cast("double") / F.lit(0xFFFFFFFF)
+
+
+def hash_number(key: Column) -> Column:
+    """The first 32 bits of the key's SHA-1."""
+    return F.conv(F.substring(F.sha1(F.encode(key, "UTF-8")), 1, 8), 16, 10).cast("long")
 
 
 def chunks(text: Column, width: int = 1800) -> Column:

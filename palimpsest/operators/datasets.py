@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import vectors as V
 
 #: Kinds that are never candidates, and kinds that don't last.
 NOT_CANDIDATES = ("query", "question", "read", "memory_query", "hypothetical", "forget")
@@ -244,3 +245,47 @@ def update_conflicts(facts: DataFrame, expected: DataFrame) -> DataFrame:
     out = expected.join(newest, ["case_id", "attribute"], "left")
     posed = F.when(F.col("n_facts").isNull(), "no_fact").when(F.col("newest") == F.col("expected"), "well_posed").otherwise("ill_posed")
     return out.withColumn("posed", posed)
+
+
+def mined_pairs(facts: DataFrame, queries: DataFrame, hard: Sequence[str], seed: str = "0", key: str = "fact_id") -> DataFrame:
+    """(key, label, query, asked): of each fact a query of its attribute (label 1) and one of another (label 0).
+
+    facts has key and attribute, queries has attribute and query. asked is the attribute of the query, null
+    for a hard negative: half of the other queries are drawn from the other attribute's and the hard
+    ones together. Draws are hashes of seed and key. Attributes and their query forms are a
+    vocabulary: numbered in one window, over a row for each attribute. Facts of attributes without
+    queries go; with one attribute alone there are no pairs of label 0.
+    """
+    pools = queries.groupBy("attribute").agg(F.sort_array(F.collect_set("query")).alias("pool"))
+    pools = pools.select("attribute", "pool", (F.row_number().over(W.orderBy("attribute")) - 1).alias("nth"), F.count("*").over(W.partitionBy()).alias("n"))
+    draw = lambda what: T.hash_number(F.concat_ws("|", F.lit(seed), F.lit(what), F.col(key).cast("string")))
+    own = facts.select(key, "attribute").join(F.broadcast(pools), "attribute")
+    true = own.select(key, F.lit(1).alias("label"), F.get("pool", (draw("own") % F.size("pool")).cast("int")).alias("query"), F.col("attribute").alias("asked"))
+    other = own.where("n > 1").select(key, ((F.col("nth") + 1 + draw("attribute") % (F.col("n") - 1)) % F.col("n")).alias("nth"))
+    other = other.join(F.broadcast(pools.select("nth", F.col("attribute").alias("asked"), "pool")), "nth")
+    size = F.size("pool") + F.when(draw("hard") % 2 == 0, len(hard)).otherwise(0)
+    other = other.withColumn("_at", (draw("other") % size).cast("int"))
+    is_hard = F.col("_at") >= F.size("pool")
+    query = F.when(is_hard, F.get(F.array(*map(F.lit, hard)) if hard else F.array(F.lit(None).cast("string")), F.col("_at") - F.size("pool"))).otherwise(F.get("pool", F.col("_at")))
+    return true.union(other.select(key, F.lit(0).alias("label"), query.alias("query"), F.when(~is_hard, F.col("asked")).alias("asked")))
+
+
+def update_pairs(rows: DataFrame, entity: str = "entity", attribute: str = "attribute", seq: str = "seq") -> DataFrame:
+    """(seq, next_seq, label): a row with the entity's next of the same attribute (1), or with its next row if that has another (0)."""
+    same, any_ = W.partitionBy(entity, attribute).orderBy(seq), W.partitionBy(entity).orderBy(seq)
+    true = rows.select(seq, F.lead(seq).over(same).alias("next_seq"), F.lit(1).alias("label")).where("next_seq is not null")
+    false = rows.select(seq, attribute, F.lead(seq).over(any_).alias("next_seq"), F.lead(attribute).over(any_).alias("_next"))
+    return true.union(false.where(F.col("_next") != F.col(attribute)).select(seq, "next_seq", F.lit(0).alias("label")))
+
+
+def close_pairs(rows: DataFrame, key: str, block: str, vector: str = "vector", tokens: str = "tokens", most_similar: float = 0.95, least_shared: int = 2) -> DataFrame:
+    """(left_key, right_key, score, shared, confirmed, guarded): pairs of a block, by cosine and shared tokens.
+
+    confirmed pairs would count as updates by their score, guarded ones share enough tokens too.
+    Pairs are those within a block, so the block's size bounds them.
+    """
+    side = lambda s: rows.select(F.col(block).alias("_b"), *(F.col(c).alias(f"{s}_{n}") for c, n in ((key, "key"), (vector, "v"), (tokens, "t"))))
+    pairs = side("left").join(side("right"), "_b").where("left_key < right_key")
+    pairs = pairs.select("left_key", "right_key", F.round(V.cosine(F.col("left_v"), F.col("right_v")), 6).alias("score"), F.size(F.array_intersect("left_t", "right_t")).alias("shared"))
+    confirmed = F.col("score") >= most_similar
+    return pairs.withColumns({"confirmed": confirmed, "guarded": confirmed & (F.col("shared") >= least_shared)})

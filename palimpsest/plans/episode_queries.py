@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
+from ..operators import datasets as D
 from ..operators import episodes as E
 from ..operators import ledger as L
 from ..operators import metrics as M
 from ..sources.files import read_table
-from .ledger_queries import _VERSIONS, log
-from .retrieval_queries import _CODE, BITS, DIMS
+from .ledger_queries import _LOG, _VERSIONS, TYPES, log
+from .retrieval_queries import _CODE, _DOT, BITS, DIMS
+from .text_queries import terms_sql
 
 ALIASES, OPERATIONS = {"en": "english anglais", "fr": "french francais", "de": "german deutsch"}, {3: "third source", 7: "seventh source"}
 THRESHOLDS = (0.2, 0.4, 0.6, 0.8)
+HARD = ("what time is it", "tell me a joke", "sum up the report")
 
 
 def q_routing_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,9 +105,28 @@ def q_replaced_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.replace_buckets(e.where("vec_id % 2 = 0").select("page_id", "code").distinct(), e.where("page_id in (1, 3)").select("page_id", "code"))
 
 
+def q_mined_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as facts of their type, asked by benchmark items: a right and a wrong query of each."""
+    types = F.array(*map(F.lit, TYPES))
+    asked = read_table(spark, sf_dir, "benchmark").select(F.element_at(types, (F.col("item_id") % len(TYPES) + 1).cast("int")).alias("attribute"), F.substring("text", 1, 30).alias("query"))
+    return D.mined_pairs(read_table(spark, sf_dir, "events").select(F.col("event_id").alias("fact_id"), F.col("event_type").alias("attribute")), asked, HARD)
+
+
+def q_update_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes of the event log with the next write of their entity."""
+    return D.update_pairs(log(spark, sf_dir).where("op = 'write'"))
+
+
+def q_close_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of vectors in blocks of twenty neighbours, with the terms of the documents of the same number."""
+    e = read_table(spark, sf_dir, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 20).alias("block"), F.col("embedding").alias("vector"))
+    d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), T.terms(F.col("text")).alias("tokens"))
+    return D.close_pairs(e.join(d, "vec_id"), "vec_id", "block", most_similar=0.2, least_shared=20)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (q_routing_text, q_token_chunks, q_structural_issues, q_answer_last, q_prefixes, q_sweep_dominance, q_write_survival, q_parity, q_replaced_buckets)
+    for f in (q_mined_pairs, q_update_pairs, q_close_pairs, q_routing_text, q_token_chunks, q_structural_issues, q_answer_last, q_prefixes, q_sweep_dominance, q_write_survival, q_parity, q_replaced_buckets)
 }
 
 _WORDS = "regexp_extract_all(lower(text), '[a-z0-9'']+')"
@@ -169,4 +191,20 @@ SQL = {
     "q_replaced_buckets": f"""
         WITH e AS (SELECT vec_id, label AS page_id, ({_CODE})::BIGINT AS code FROM (SELECT vec_id, label, embedding AS v FROM embeddings))
         SELECT DISTINCT page_id, code FROM e WHERE vec_id % 2 = 0 AND page_id NOT IN (1, 3) UNION SELECT DISTINCT page_id, code FROM e WHERE page_id IN (1, 3)""",
+    "q_mined_pairs": f"""
+        WITH p AS (SELECT ({list(TYPES)})[item_id % {len(TYPES)} + 1] AS attribute, list_sort(list(DISTINCT substr(text, 1, 30))) AS pool FROM benchmark GROUP BY 1),
+        k AS (SELECT *, row_number() OVER (ORDER BY attribute) - 1 AS nth, count(*) OVER () AS n FROM p),
+        f AS (SELECT event_id AS fact_id, nth, n, k.attribute, pool, {", ".join(f"('0x' || substr(sha1('0|{w}|' || event_id), 1, 8))::BIGINT AS h_{w}" for w in ("own", "attribute", "hard", "other"))} FROM events JOIN k ON k.attribute = event_type),
+        o AS (SELECT fact_id, h_hard, h_other, (nth + 1 + h_attribute % (n - 1)) % n AS nth FROM f WHERE n > 1),
+        x AS (SELECT fact_id, k.attribute, pool, h_other % (len(pool) + CASE WHEN h_hard % 2 = 0 THEN {len(HARD)} ELSE 0 END) AS i FROM o JOIN k USING (nth))
+        SELECT fact_id, 1 AS label, pool[h_own % len(pool) + 1] AS query, attribute AS asked FROM f
+        UNION ALL SELECT fact_id, 0, CASE WHEN i >= len(pool) THEN ({list(HARD)})[i - len(pool) + 1] ELSE pool[i + 1] END, CASE WHEN i < len(pool) THEN attribute END FROM x""",
+    "q_update_pairs": f"""
+        WITH {_LOG}, w AS (SELECT seq, attribute, lead(seq) OVER (PARTITION BY entity, attribute ORDER BY seq) AS same, lead(seq) OVER (PARTITION BY entity ORDER BY seq) AS nx, lead(attribute) OVER (PARTITION BY entity ORDER BY seq) AS na FROM log WHERE op = 'write')
+        SELECT seq, same AS next_seq, 1 AS label FROM w WHERE same IS NOT NULL UNION ALL SELECT seq, nx, 0 FROM w WHERE na <> attribute""",
+    "q_close_pairs": f"""
+        WITH e AS (SELECT vec_id, vec_id // 20 AS block, embedding AS v, {terms_sql("text")} AS t FROM embeddings JOIN documents ON doc_id = vec_id),
+        p AS (SELECT a.vec_id AS left_key, b.vec_id AS right_key, round({_DOT.format("a.v", "b.v")} / (sqrt({_DOT.format("a.v", "a.v")}) * sqrt({_DOT.format("b.v", "b.v")})), 6) AS score, len(list_intersect(a.t, b.t))::INT AS shared
+              FROM e a JOIN e b ON a.block = b.block AND a.vec_id < b.vec_id)
+        SELECT *, score >= 0.2 AS confirmed, score >= 0.2 AND shared >= 20 AS guarded FROM p""",
 }
