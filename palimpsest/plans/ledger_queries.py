@@ -34,7 +34,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = F.col("turn") % 3 == 1
     return c.select(
         F.concat_ws("-", "conv_id", "turn").alias("record_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.when(named, F.col("role")).otherwise("").alias("entity"),
-        F.when(named, "city").otherwise("").alias("attribute"), F.substring("text", 1, 8).alias("value"), "text", F.lit("active").alias("status"), F.lit(0).alias("version"),
+        F.when(named, "city").otherwise("").alias("attribute"), F.col("text").alias("value"), "text", F.lit("active").alias("status"), F.lit(0).alias("version"),
         F.lit(None).cast("string").alias("supersedes"), F.when(F.col("conv_id") % 5 == 0, "").otherwise(F.concat(F.col("conv_id"), F.lit(":"), F.floor(F.col("turn") / 2))).alias("origin"),
     )
 

@@ -197,9 +197,9 @@ def q_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_evidence_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Within a conversation, turns whose first word occurs in an earlier link of the chain."""
-    c = read_table(spark, sf_dir, "conversations").where("turn < 4")
+    c = read_table(spark, sf_dir, "conversations")
     facts = c.select(F.col("conv_id").alias("group_id"), F.col("turn").alias("seq"), F.lower("text").alias("text"), F.lower(F.regexp_extract("text", "^([A-Za-z]+)", 1)).alias("value"))
-    return R.evidence_chain(facts, 2).where("hop > 0")
+    return R.evidence_chain(facts).where("hop > 0")
 
 
 def q_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -321,10 +321,11 @@ SQL = {
               UNION SELECT query_id, nx, hop + 1 FROM w JOIN e ON e.id = w.record_id WHERE hop < 3)
         SELECT query_id, record_id, min(hop) AS hop FROM w GROUP BY ALL""",
     "q_evidence_chain": """
-        WITH f AS (SELECT conv_id AS g, turn AS seq, lower(text) AS text, lower(regexp_extract(text, '^([A-Za-z]+)', 1)) AS value FROM conversations WHERE turn < 4),
+        WITH f AS (SELECT conv_id AS g, turn AS seq, lower(text) AS text, lower(regexp_extract(text, '^([A-Za-z]+)', 1)) AS value FROM conversations),
         o AS (SELECT a.g, a.seq, b.seq AS n1, b.text AS t1 FROM f a JOIN f b ON a.g = b.g AND b.seq <> a.seq AND b.value <> '' AND contains(a.text, b.value)),
-        p AS (SELECT o.g, o.seq, b.seq AS n2 FROM o JOIN f b ON o.g = b.g AND b.seq NOT IN (o.seq, o.n1) AND b.value <> '' AND contains(o.t1, b.value)),
-        u AS (SELECT g, seq, n1 AS nx, 1 AS hop FROM o UNION ALL SELECT g, seq, n2, 2 FROM p)
+        p AS (SELECT o.g, o.seq, o.n1, b.seq AS n2, b.text AS t2 FROM o JOIN f b ON o.g = b.g AND b.seq NOT IN (o.seq, o.n1) AND b.value <> '' AND contains(o.t1, b.value)),
+        l AS (SELECT p.g, p.seq, b.seq AS n3 FROM p JOIN f b ON p.g = b.g AND b.seq NOT IN (p.seq, p.n1, p.n2) AND b.value <> '' AND contains(p.t2, b.value)),
+        u AS (SELECT g, seq, n1 AS nx, 1 AS hop FROM o UNION ALL SELECT g, seq, n2, 2 FROM p UNION ALL SELECT g, seq, n3, 3 FROM l)
         SELECT g AS group_id, seq, nx AS next_seq, min(hop) AS hop FROM u GROUP BY ALL""",
     "q_centroids": "SELECT label, i::INT AS dim, round(avg(x), 5) AS x FROM (SELECT label, unnest(range(0, 64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY ALL",
 }

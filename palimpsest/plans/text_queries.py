@@ -124,9 +124,9 @@ def q_turn_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lexical scores of every document against one benchmark item."""
+    """Lexical scores of every document against one benchmark item; the items take turns."""
     items = read_table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
-    rows = read_table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id")).join(items, "item_id")
+    rows = read_table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % items.count()).alias("item_id")).join(items, "item_id")
     q, r = T.tokens(F.col("question")), T.tokens(F.col("text"))
     lexical, overlap = T.lexical_score(q, r), T.coverage_score(q, r)
     return rows.select(
@@ -214,7 +214,7 @@ SQL = {
         WITH p AS (SELECT doc_id, {tokens_sql("b.text")} AS q, {tokens_sql("d.text")} AS r,
                    list_distinct(list_filter(string_split(b.text, ''), lambda c: regexp_matches(c, '[^\\x00-\\x7F]'))) AS qc,
                    list_distinct(list_filter(string_split(d.text, ''), lambda c: regexp_matches(c, '[^\\x00-\\x7F]'))) AS rc
-                   FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id),
+                   FROM documents d JOIN benchmark b ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id),
         s AS (SELECT doc_id, {lexical_sql("q", "r")} AS lx, CASE WHEN len(q) = 0 THEN 0.0 ELSE len(list_intersect(q, r))::DOUBLE / len(q) END AS cv,
               CASE WHEN len(rc) = 0 THEN 0.0 ELSE len(list_intersect(qc, rc))::DOUBLE / len(rc) END AS ds FROM p)
         SELECT doc_id, round(lx, 6) AS lexical, round(cv, 6) AS coverage, round(ds, 6) AS distinctive,
