@@ -3,7 +3,9 @@
 A word is a maximal run of bytes other than 0x20 and 0x09-0x0D. No multi-byte UTF-8
 character holds such a byte, so the byte rule and the character rule
 ``[^\\x20\\x09-\\x0D]+`` find the same words. Hashes are 64 bits wide, depend only on
-the word's bytes and are the same in every process, so they may be joined on.
+the word's bytes and are the same in every process, so they may be joined on. Words of
+LONG_WORD bytes and more are hashed by BLAKE2: a polynomial modulo 2**64 gives some pairs
+of long words, made for it, one value whatever its odd base.
 
 Nulls count as empty texts and yield no word.
 """
@@ -13,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +25,8 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
 STEP_BYTES = 1 << 18
+#: Bytes from which on a word is long.
+LONG_WORD = 128
 
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[list(SPACES)] = True
@@ -107,6 +112,7 @@ def words_of(column: pa.Array, lower: bool = False, limit: int = STEP_BYTES) ->
     """The words of every row, a few rows at a time."""
     raw, offsets = utf8_of(column)
     table = _LOWER if lower else _SAME
+    table_bytes = (table - np.uint64(1)).astype(np.uint8)
     for i, j in steps(offsets, limit):
         data = raw[offsets[i] : offsets[j]]
         offs = offsets[i : j + 1] - offsets[i]
@@ -128,6 +134,8 @@ def words_of(column: pa.Array, lower: bool = False, limit: int = STEP_BYTES) ->
         sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(table[data] * power[:n], out=sums[1:])
         hashes = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+        for w in np.flatnonzero(ends - starts >= LONG_WORD):
+            hashes[w] = int.from_bytes(blake2b(table_bytes[data[starts[w] : ends[w]]].tobytes(), digest_size=8).digest(), "little")
         row = (np.searchsorted(offs, starts, side="right") - 1).astype(np.int64)
         yield Words(i, j - i, data, offs, starts, ends, row, hashes)
 

@@ -34,3 +34,10 @@ def test_equal_hashes_only_for_equal_words():
     words = [f"{a}{b}" for a in ("", "a", "b", "ab", "ba", "éa") for b in range(300)]
     step = next(W.words_of(pa.array([" ".join(words)])))
     assert len(np.unique(step.hashes)) == len(set(words))
+
+
+def test_long_words_that_collide_modulo_powers_of_two():
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    one, other = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    step = next(W.words_of(pa.array([f"{one} {other} {one.upper()} {one}x"]), lower=True))
+    assert len(set(step.hashes.tolist())) == 3 and step.hashes[0] == step.hashes[2]
