@@ -89,10 +89,11 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     """Writes a record for each row of pages; returns the manifest (archive, records, bytes).
 
     folder is a URI that Arrow's file systems can open on every executor. The payload is the
-    html in UTF-8, null as empty. id_col must be a long, different for each row; rows that
-    repeat an id with the same html are all written. Rows with a null id are left out, as
-    they can't be named. Of the rows with equal payloads of least_revisit bytes, that with the
-    largest id is the response. An empty table gives an empty manifest.
+    html in UTF-8, null as empty. id_col must be a long. Rows that repeat an id are all written,
+    each with the digests of its own html; they share a record's name. Rows with a null id are
+    left out, as they can't be named. Of the rows with equal payloads of least_revisit bytes, that
+    with the largest id is the response, and so are rows that repeat its id. An empty table gives
+    an empty manifest.
     """
     rows = pages.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")
@@ -102,7 +103,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     first = keys.where(f"size >= {least_revisit}").groupBy("sha1", "size").agg(F.max("page_id").alias("head"), F.min("page_id").alias("least"))
     copied = first.where("head <> least").drop("least")
     named = keys.join(copied, ["sha1", "size"], "left").select("page_id", "sha1", "size", F.when(F.col("head") != F.col("page_id"), F.col("head")).alias("refers_to"))
-    whole = rows.join(named.dropDuplicates(["page_id"]), "page_id").select("page_id", "url", "html", "size", "sha1", "refers_to")
+    whole = rows.withColumn("sha1", F.sha1(data)).join(named.dropDuplicates(["page_id", "sha1"]), ["page_id", "sha1"]).select("page_id", "url", "html", "size", "sha1", "refers_to")
     store, path = fs.FileSystem.from_uri(folder)
     store.create_dir(path, recursive=True)
     return cut(whole.mapInArrow(_write(folder, archive_bytes), "archive string, records long, bytes long"))

@@ -232,6 +232,22 @@ def test_archives_round_trip(spark):
     assert warc.read_archives(warc.write_archives(pages.where("false"), fresh_path(spark, "warc-none"))).count() == 0
 
 
+def test_rows_that_repeat_an_id_keep_their_own_html(spark):
+    own = [(1, "u", "a" * 2000), (1, "v", "b" * 2000), (1, "v", "b" * 2000), (2, "w", "b" * 2000), (3, "w", "c" * 1500), (3, "x", "c" * 1500), (4, "y", "z"), (4, "y", None)]
+    rows = warc.round_trip(spark, spark.createDataFrame(own, "page_id long, url string, html string")).collect()
+    sha = lambda t: hashlib.sha1((t or "").encode()).hexdigest()
+    expected = [(i, len(t or ""), sha(t), *(("revisit", 2) if i == 1 and t[0] == "b" else ("response", None))) for i, _, t in own]
+    assert sorted(map(repr, ((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in rows))) == sorted(map(repr, expected))
+
+
+def test_secrets_of_nothing(spark):
+    rows = spark.createDataFrame([(1, None, 7), (2, "", 8), (None, "x", 9)], "doc_id long, text string, spans int")
+    op5 = lambda df: secrets.digest(secrets.find_secrets(df))
+    found = op5(rows)
+    assert sorted((r.id or 0, r.n_assign, r.n_access, r.n_hex, r.spans) for r in found.collect()) == [(0, 0, 0, 0, ""), (1, 0, 0, 0, ""), (2, 0, 0, 0, "")]
+    assert op5(rows.where("false")).count() == 0
+
+
 def test_reader_needs_whole_and_true_archives():
     one = warc.record(1, "u", b"x" * 100_000, 100_000, hashlib.sha1(b"x" * 100_000).hexdigest(), None)
     two = warc.record(2, "u", None, 5, "0" * 40, 1)
