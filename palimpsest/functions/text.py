@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -358,3 +358,12 @@ def template_frame(template: Column) -> Column:
     """A regular expression of a template: literal parts escaped, slots {name} as (.+?)."""
     escaped = F.regexp_replace(template, r"([\\.\[\]()*+?^$|])", r"\\$1")
     return F.concat(F.lit("^"), F.regexp_replace(escaped, r"\{[a-z_]+\}", "(.+?)"), F.lit("$"))
+
+
+def slot_value(text: Column, templates: Sequence[str]) -> Column:
+    """The last slot's value by the first template that the whole text follows; null if it follows none."""
+    out = F.lit(None).cast("string")
+    for t in reversed(templates):
+        frame = template_frame(F.lit(t))
+        out = F.when(F.rlike(text, frame), F.call_function("regexp_extract", text, frame, F.lit(t.count("{")))).otherwise(out)
+    return out

@@ -166,9 +166,14 @@ def leakage(train: DataFrame, evaluation: DataFrame, columns: Sequence[str]) ->
     return out
 
 
+def shared_keys(train: DataFrame, evaluation: DataFrame, key: str) -> DataFrame:
+    """(key): what is in both splits, each once; nulls are no key."""
+    return evaluation.select(key).join(train.select(key), key, "left_semi").distinct()
+
+
 def assert_disjoint(train: DataFrame, evaluation: DataFrame, key: str) -> None:
     """Raises if a key is in both splits."""
-    if evaluation.select(key).join(train.select(key), key, "left_semi").limit(1).count():
+    if shared_keys(train, evaluation, key).limit(1).count():
         raise ValueError(f"{key} of both splits overlap")
 
 
@@ -189,7 +194,7 @@ def length_batches(texts: DataFrame, budget: int, length: str = "n_tokens", orde
     A length's rows are numbered in parts by hash, so a common length isn't one task; a part's
     last batch may be short.
     """
-    part = F.pmod(F.crc32(F.encode(F.col(order).cast("string"), "UTF-8")), F.lit(parts))
+    part = T.hash_number(F.col(order).cast("string")) % parts
     rank = F.row_number().over(W.partitionBy(length, "part").orderBy(order)) - 1
     size = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.lit(1), F.col(length))))
     return texts.withColumn("part", part).withColumn("batch", F.floor(rank / size))

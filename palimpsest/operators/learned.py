@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -77,8 +78,11 @@ def coverage_gate(asked: DataFrame, bank: DataFrame, vocabulary: DataFrame, shar
 
 
 def inherited_keys(turns: DataFrame, scored: DataFrame, floor: float = 5.0) -> DataFrame:
-    """turns (query_id, attribute) where a blank attribute takes that of the best record from `floor` on."""
-    best = scored.groupBy("query_id").agg(F.max_by("attribute", "score").alias("_attribute"), F.max("score").alias("_score"))
+    """turns (query_id, attribute) where a blank attribute takes that of the best record from `floor` on.
+
+    Among records of one score that of the last attribute is the best.
+    """
+    best = scored.groupBy("query_id").agg(F.max_by("attribute", F.struct("score", "attribute")).alias("_attribute"), F.max("score").alias("_score"))
     own = F.when((F.col("attribute") == "") & (F.col("_score") >= floor), F.col("_attribute")).otherwise(F.col("attribute"))
     return turns.join(best, "query_id", "left").withColumn("attribute", own).drop("_attribute", "_score")
 
@@ -99,24 +103,29 @@ def hot_slots(log: DataFrame, slots: int = 16, key: str = "user_id") -> DataFram
     """A fold of each user's writes (seq, text) into a fixed number of slots: (key, seq, slot, action).
 
     A write of a text that a slot holds touches it; others take a free slot, or the one whose
-    last write is oldest. A slot's turn depends on all writes before, so each user's log is
-    folded in order; only texts' hashes and numbers are held.
+    last write is oldest. A slot's turn depends on all writes before, so a user's log is sorted
+    by (key, seq), which spills, and folded in order; a task holds one batch and one user's slots.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq", kind="stable")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, int] = {}
-        out = []
-        for r in rows.itertuples(index=False):
-            if r.digest in held:
-                slot, action = held.pop(r.digest), "touched"
-            elif len(held) < slots:
-                slot, action = len(held), "inserted"
-            else:
-                slot, action = held.pop(next(iter(held))), "replaced"
-            held[r.digest] = slot
-            out.append((getattr(r, key), r.seq, slot, action))
-        return pd.DataFrame(out, columns=[key, "seq", "slot", "action"])
-
-    rows = log.select(key, "seq", F.sha1(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("digest"))
-    return rows.groupBy(key).applyInPandas(fold, f"{key} long, seq long, slot int, action string")
+        now: object = object()  # no key is equal to it
+        for batch in batches:
+            keys, seqs, digests = (c.to_pylist() for c in batch.columns)
+            at, actions = [], []
+            for k, digest in zip(keys, digests, strict=True):
+                if k != now:
+                    held, now = {}, k
+                if digest in held:
+                    slot, action = held.pop(digest), "touched"
+                elif len(held) < slots:
+                    slot, action = len(held), "inserted"
+                else:
+                    slot, action = held.pop(next(iter(held))), "replaced"
+                held[digest] = slot
+                at.append(slot)
+                actions.append(action)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(seqs, pa.int64()), pa.array(at, pa.int32()), pa.array(actions, pa.string())], names=[key, "seq", "slot", "action"])
+
+    rows = log.select(F.col(key).cast("long"), F.col("seq").cast("long"), F.sha1(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("digest"))
+    return rows.repartition(key).sortWithinPartitions(key, "seq").mapInArrow(fold, f"{key} long, seq long, slot int, action string")

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 ACTIVE, SUPERSEDED, RETRACTED, QUARANTINED = "active", "superseded", "retracted", "quarantined"
 #: Fixed values of the admission gate.
 LEAST_IMPORTANCE, LEAST_CONFIDENCE = 0.50, 0.25
@@ -146,15 +148,16 @@ def tiers(pages: DataFrame, hot: int = 8, resident: int = 64, order: Sequence[st
 def consolidation_plan(pages: DataFrame, target: int, capacity: int = 32, page: str = "page_id") -> DataFrame:
     """(page_id, move): the pages of least importance and size beyond the target number move.
 
-    Pages are derived from their key here, so a plan only says which to merge.
+    Pages are derived from their key here, so a plan only says which to merge. The pages that stay
+    are a top `target`, so no task numbers all pages.
     """
-    rank = F.row_number().over(W.orderBy(F.col("importance").desc(), F.col("n_records").desc(), F.col(page)))
-    return pages.withColumn("move", (rank > target) & (F.col("n_records") < capacity))
+    stay = pages.orderBy(F.col("importance").desc(), F.col("n_records").desc(), F.col(page)).limit(target).select(page, F.lit(True).alias("_stays"))
+    return pages.join(stay, page, "left").withColumn("move", F.col("_stays").isNull() & (F.col("n_records") < capacity)).drop("_stays")
 
 
 def page_of(key: Column, pages: int) -> Column:
     """The page of a record: a hash of its key. It stands for placement by nearest centroid."""
-    return F.pmod(F.crc32(F.encode(key, "UTF-8")), F.lit(pages)).cast("int")
+    return (T.hash_number(key) % pages).cast("int")
 
 
 def counts(records: DataFrame, *by: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import datasets as D
 from ..sources.files import manifest, read_table
+from .text_queries import terms_sql
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +107,7 @@ def q_merged_banks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batches of equal length within a budget: none over it, none mixed; SQL has no such CRC."""
+    """Batches of equal length within a budget: none over it, none mixed."""
     d = read_table(spark, sf_dir, "documents").select("doc_id", F.floor(F.size(T.terms(F.col("text"))) / 20).alias("n_tokens"))
     return D.length_batches(d, 100, order="doc_id", parts=4).groupBy("n_tokens", "part", "batch").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("used"))
 
@@ -179,6 +180,10 @@ _TEXT_ROWS = "SELECT sha1(text) AS text_sha1, min(pos) AS first_pos, count(*) AS
 _DOCS = "SELECT text, doc_id AS pos FROM documents"
 
 SQL = {
+    "q_batches": f"""
+        WITH d AS (SELECT len({terms_sql("text")}) // 20 AS n_tokens, ('0x' || substr(sha1(doc_id::VARCHAR), 1, 8))::BIGINT % 4 AS part, doc_id FROM documents),
+        b AS (SELECT n_tokens, part, (row_number() OVER (PARTITION BY n_tokens, part ORDER BY doc_id) - 1) // greatest(1, 100 // greatest(1, n_tokens)) AS batch FROM d)
+        SELECT n_tokens, part, batch, count(*) AS n, sum(n_tokens)::BIGINT AS used FROM b GROUP BY ALL""",
     "q_turns": r"""
         SELECT conv_id, turn, sha1(b) AS digest, CASE WHEN role <> 'user' THEN 'reply' WHEN b = '' THEN 'empty' WHEN contains(b, '?') THEN 'query' ELSE 'episode' END AS kind,
                CASE WHEN role = 'user' AND b <> '' AND NOT contains(b, '?') THEN 1.0 ELSE 0.0 END AS write_label, CASE WHEN role <> 'user' OR trim(text) = '' THEN '' ELSE substr(sha1(trim(text)), 1, 16) END AS origin,

@@ -12,10 +12,15 @@ from ..sources.files import generated_episodes, read_table
 from .retrieval_queries import vectors
 
 
+def small_layers() -> tuple[tuple[np.ndarray, np.ndarray], ...]:
+    """Two fixed layers for pairs of 64 numbers."""
+    rng = np.random.default_rng(3)
+    return (rng.normal(0, 0.1, (256, 16)), np.zeros(16)), (rng.normal(0, 0.1, (16, 1)), np.zeros(1))
+
+
 def q_pair_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every query vector against the vectors of its label, by a fixed small network."""
-    rng = np.random.default_rng(3)
-    layers = ((rng.normal(0, 0.1, (256, 16)), np.zeros(16)), (rng.normal(0, 0.1, (16, 1)), np.zeros(1)))
+    layers = small_layers()
     q, r = vectors(spark, sf_dir)
     pairs = q.select("query_id", "label", F.col("vector").alias("a")).join(r.select("record_id", "label", F.col("vector").alias("b")), "label")
     return pairs.select("query_id", "record_id", F.round(N.scorer(N.PairMlp(layers))(F.col("a"), F.col("b")), 6).alias("score"))
@@ -57,7 +62,17 @@ def q_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (q_pair_mlp, q_logistic, q_coverage, q_hot_slots, q_forget, q_generated)}
 
 _H = "('0x' || substr(sha1('0|{}|' || id), 1, 8))::BIGINT"
+_HIDDEN = " + ".join(
+    f"{float(w)!r} * greatest(0, list_dot_product(x, [{', '.join(repr(float(v)) for v in column)}]::DOUBLE[]))"
+    for column, w in zip(small_layers()[0][0].T, small_layers()[1][0][:, 0], strict=True)
+)
+
 SQL = {
+    "q_pair_mlp": f"""
+        WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+        p AS (SELECT a.vec_id AS query_id, b.vec_id AS record_id, a.v AS a, b.v AS b FROM e a JOIN e b USING (label) WHERE a.vec_id % 20 = 0),
+        f AS (SELECT query_id, record_id, list_concat(list_concat(a, b), list_concat(list_transform(range(1, 65), lambda i: a[i] * b[i]), list_transform(range(1, 65), lambda i: abs(a[i] - b[i])))) AS x FROM p)
+        SELECT query_id, record_id, round(1 / (1 + exp(-({_HIDDEN}))), 6) AS score FROM f""",
     "q_coverage": """
         WITH b AS (SELECT DISTINCT lang FROM documents WHERE n_chars < 1000), v AS (SELECT DISTINCT lang FROM documents),
         a AS (SELECT doc_id AS query_id, CASE WHEN doc_id % 100 = 0 THEN 'xx' ELSE lang END AS attribute FROM documents)

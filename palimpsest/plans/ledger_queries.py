@@ -81,7 +81,7 @@ def q_ledger_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_ledger_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages by hash with their load, and which move if only 40 may stay; SQL has no such CRC."""
+    """Pages by hash with their load, and which move if only 40 may stay."""
     return L.consolidation_plan(pages(spark, sf_dir), target=40)
 
 
@@ -184,6 +184,10 @@ SQL = {
         WITH p AS (SELECT source AS page_id, count(*) AS n_records, max(n_chars) AS importance, max(doc_id) AS last_access FROM documents GROUP BY source),
         k AS (SELECT *, row_number() OVER (ORDER BY importance DESC, last_access DESC, n_records DESC, page_id) AS rk FROM p)
         SELECT page_id, n_records, importance, last_access, CASE WHEN rk <= 3 THEN 'hot' WHEN rk <= 12 THEN 'warm' ELSE 'cold' END AS tier FROM k""",
+    "q_ledger_pages": f"""
+        WITH {_VERSIONS}, p AS (SELECT (('0x' || substr(sha1(entity || '::' || attribute), 1, 8))::BIGINT % 100)::INT AS page_id, count(*) AS n_records, round(avg(importance::DOUBLE), 6) AS importance, max(seq) AS last_access
+                                FROM v WHERE status = 'active' GROUP BY 1)
+        SELECT *, row_number() OVER (ORDER BY importance DESC, n_records DESC, page_id) > 40 AND n_records < 32 AS move FROM p""",
     "q_ledger_audit": f"""
         WITH {_VERSIONS}, s AS (SELECT * FROM v WHERE status IS NOT NULL),
         i AS (SELECT 'two_active' AS issue FROM (SELECT 1 FROM s WHERE status = 'active' GROUP BY entity, attribute HAVING count(*) > 1)
