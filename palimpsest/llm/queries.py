@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, ngram_join, quality_model, quality_rules, secrets, sharding, suffix_dedup, toxicity, warc
+from . import centroids, decontamination, mixing, ngram_join, quality_model, quality_rules, secrets, sharding, suffix_dedup, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op13_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings in 8 clusters after 10 rounds of Lloyd's method in integers."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_ngram_join": op2_ngram_join,
@@ -90,8 +95,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_model": op8_quality_model,
     "op9_sharding": op9_sharding,
     "op10_quality_rules": op10_quality_rules,
+    "op13_lloyd": op13_lloyd,
 }
 
+
+
+def lloyd_sql(k: int = 8, rounds: int = 10) -> str:
+    """Lloyd's method as SQL: a pair of CTEs for each round."""
+    steps = [
+        "v AS MATERIALIZED (SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v "
+        "FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(embedding) = 64)",
+        "c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, v) - 1)::INT AS c, v AS m FROM v "
+        f"ORDER BY sha256('3:' || vec_id) NULLS LAST, v LIMIT {k})",
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"d{r} AS (SELECT i, c, list_sum(list_transform(list_zip(v, m), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v, c{r}), "
+            f"a{r} AS MATERIALIZED (SELECT i, min_by(c, d * 64 + c) AS c, min(d) AS d FROM d{r} GROUP BY i)"
+        )
+        if r < rounds:
+            steps.append(
+                f"u{r} AS (SELECT c, unnest(v) AS x, unnest(range(64)) AS p FROM a{r} JOIN v USING (i)), "
+                f"s{r} AS (SELECT c, p, sum(x)::BIGINT AS s, count(*) AS n FROM u{r} GROUP BY c, p), "
+                f"m{r} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY p) AS m FROM s{r} GROUP BY c), "
+                f"c{r + 1} AS MATERIALIZED (SELECT c{r}.c, coalesce(m{r}.m, c{r}.m) AS m FROM c{r} LEFT JOIN m{r} ON c{r}.c = m{r}.c)"
+            )
+    return f"""WITH {', '.join(steps)}
+        SELECT vec_id, a.c AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+               sha256(array_to_string(m, ',')) AS centroid_sha256 FROM a{rounds} a JOIN v USING (i) JOIN c{rounds} c ON c.c = a.c"""
+
+
 _ASCII = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 _T = "sqrt((1 - k) * (1 - k) + 4 * k * (o / target))"
@@ -126,4 +159,5 @@ SQL: dict[str, str] = {
         WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
         m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS head FROM p)
         SELECT page_id, payload_bytes, payload_digest, CASE WHEN head = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN head <> page_id THEN head END AS refers_to FROM m""",
+    "op13_lloyd": lloyd_sql(),
 }
