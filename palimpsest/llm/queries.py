@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, decontamination, mixing, ngram_join, quality_model, quality_rules, secrets, sharding, suffix_dedup, toxicity, warc
+from . import centroids, decontamination, mixing, ngram_join, phrases, quality_model, quality_rules, secrets, sharding, suffix_dedup, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 collocations of each language of all documents."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings in 8 clusters after 10 rounds of Lloyd's method in integers."""
     return centroids.cluster(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_model": op8_quality_model,
     "op9_sharding": op9_sharding,
     "op10_quality_rules": op10_quality_rules,
+    "op11_phrases": op11_phrases,
     "op13_lloyd": op13_lloyd,
 }
 
@@ -159,5 +165,20 @@ SQL: dict[str, str] = {
         WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
         m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS head FROM p)
         SELECT page_id, payload_bytes, payload_digest, CASE WHEN head = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN head <> page_id THEN head END AS refers_to FROM m""",
+    "op11_phrases": f"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), {_ASCII}), '[.,;:!?\\x0A-\\x0D]')) AS t FROM documents),
+        d AS (SELECT lang, regexp_extract_all(t, '[^\\x20\\x09]+') AS w, count(*) AS m FROM p GROUP BY ALL HAVING len(w) > 0),
+        n AS (SELECT lang, sum(m * len(w))::BIGINT AS n FROM d GROUP BY lang),
+        g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, sum(m)::BIGINT AS a
+              FROM (SELECT lang, w, m, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, unnest([1, 2, 3, 4]) AS u(k) WHERE len(w) >= k) GROUP BY ALL HAVING sum(m) >= 30),
+        c AS (SELECT *, string_split(phrase, ' ') AS w FROM g WHERE k > 1),
+        j AS (SELECT lang, phrase, a, w, unnest(range(1, k)) AS j FROM c),
+        s AS (SELECT j.lang, j.phrase, j.a, j, x.a AS l, y.a AS r, (2000000 * j.a) // (x.a + y.a) AS score FROM j
+              JOIN g x ON x.lang = j.lang AND x.phrase = array_to_string(w[1:j], ' ') JOIN g y ON y.lang = j.lang AND y.phrase = array_to_string(w[j + 1:], ' ')),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+        i AS (SELECT lang, array_to_string(w[f:t], ' ') AS phrase, max(a) AS within FROM (SELECT c.*, f, unnest(range(f + 1, k + 1)) AS t FROM c, unnest([1, 2, 3]) AS u(f) WHERE f < k)
+              WHERE t - f + 1 < k GROUP BY ALL),
+        o AS (SELECT b.* FROM b LEFT JOIN i USING (lang, phrase) WHERE within IS NULL OR 100 * within < 80 * a)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) QUALIFY rank <= 2000""",
     "op13_lloyd": lloyd_sql(),
 }
