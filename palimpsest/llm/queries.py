@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, decontamination, mixing, ngram_join, phrases, quality_model, quality_rules, secrets, sharding, suffix_dedup, toxicity, warc
+from . import centroids, decontamination, html_extract, mixing, ngram_join, phrases, quality_model, quality_rules, secrets, sharding, suffix_dedup, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +84,11 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html_extract.extract(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def op13_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings in 8 clusters after 10 rounds of Lloyd's method in integers."""
     return centroids.cluster(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
@@ -101,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_quality_rules": op10_quality_rules,
     "op11_phrases": op11_phrases,
+    "op12_html": op12_html,
     "op13_lloyd": op13_lloyd,
 }
 
