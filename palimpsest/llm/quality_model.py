@@ -128,6 +128,8 @@ def fit(rows: list[tuple[int, np.ndarray]], cost: float = 0.1) -> Model:
         for i in np.flatnonzero(fold == k):
             held[i] = margin(w, bias, rows[i][1])
     slope, shift = logistic_of(held, labels)
+    if slope <= 0:  # the margins tell nothing of unseen rows: every score is the share of ones
+        slope, shift = 0.0, float(np.log((np.sum(labels == 1) + 1) / (np.sum(labels == 0) + 1)))
     w, bias = weigh(np.arange(len(rows)))
     return Model(w, bias, slope, shift, len(rows))
 
@@ -154,18 +156,22 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     is in [0, 1]; predicted is 1 from the threshold on. Null and empty texts get the score of a
     text without features. Null labels, ids and texts are never learned from; labels of one id
     are averaged. If all labels agree, or there are none, every score is their share of ones, or
-    0.5. Rows may repeat an id. Other columns aren't read; an empty table gives an empty result.
+    0.5; if the margins rank unseen rows of the sample the wrong way round or not at all, it is the
+    share of ones among them, one more of each counted. Rows may repeat an id. Other columns aren't
+    read; an empty table gives an empty result.
     """
     model = train(docs, labels, id_col, text_col, label_col, trains or (lambda key: F.lit(True)), **options)
     return scored(docs, model, id_col, text_col, threshold)
 
 
 def keep(docs: DataFrame, model: Model, text_col: str, threshold: float) -> DataFrame:
-    """The rows of docs whose score reaches the threshold, with all their columns; nothing moves."""
+    """The rows of docs whose score reaches the threshold, with all their columns; nothing moves.
+
+    As in `scored`, with a slope of 0 all rows have one score, so all stay or all go.
+    """
     at = docs.columns.index(text_col)
-    least = float((np.log(threshold / (1 - threshold)) - model.shift) / model.slope)
-    if model.slope < 0:
-        raise ValueError("the model ranks its own classes the wrong way round")
+    short = float(np.log(threshold / (1 - threshold)) - model.shift)
+    least = short / model.slope if model.slope > 0 else -np.inf if short <= 0 else np.inf
     shared = docs.sparkSession.sparkContext.broadcast(model.weights.astype(np.float32))
     bias = model.bias
 

@@ -296,3 +296,35 @@ def test_pipeline_of_nothing(spark, docs, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     docs.where("false").write.parquet(f"{d}/documents.parquet")
     assert corpus_pipeline.run(spark, d).count() == 0
+
+
+def test_noise_and_few_labels_crash_nothing(spark):
+    """Random labels, one label for each class, and one class only: scores and kept rows by one rule."""
+    rng = random.Random(1)
+    say = lambda: " ".join(rng.choice(["red", "Blue", "green,", "dark.", "42"]) for _ in range(30))
+    docs = spark.createDataFrame([(i, say(), "en", "s", 100) for i in range(120)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(2)
+    keys = [i for i in range(120) if zlib.crc32(str(i).encode()) % 5]
+    cases = [[(i, rng.randrange(2)) for i in keys] for _ in range(3)] + [[(keys[0], 0), (keys[1], 1)], [(keys[0], 1)], [(keys[0], 0)], []]
+    for labelled in cases:
+        labels = spark.createDataFrame(labelled, "doc_id long, quality int")
+        model = quality_model.train(docs, labels, "doc_id", "text", "quality", lambda key: F.crc32(F.encode(key, "UTF-8")) % 5 != 0)
+        assert model.slope >= 0
+        good = {r["id"] for r in quality_model.scored(docs, model, "doc_id", "text", 0.3).where("predicted = 1").collect()}
+        assert {r["doc_id"] for r in quality_model.keep(docs, model, "text", 0.3).collect()} == good
+        if model.slope == 0:
+            assert len(good) in (0, 120)
+    assert corpus_pipeline.LEAST_QUALITY == 0.3
+
+
+def test_a_fit_that_ranks_wrongly_gives_the_share_of_ones():
+    rng = np.random.default_rng(0)
+    flat = 0
+    for _ in range(20):
+        rows = [(int(rng.integers(2)), np.unique(rng.integers(0, 200, 30))) for _ in range(60)]
+        model = quality_model.fit(rows)
+        assert model.slope >= 0
+        if model.slope == 0:
+            flat += 1
+            ones = sum(y for y, _ in rows)
+            assert 1 / (1 + np.exp(-model.shift)) == pytest.approx((ones + 1) / (len(rows) + 2))
+    assert flat
