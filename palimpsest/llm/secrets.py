@@ -13,6 +13,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,8 +29,11 @@ LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 KINDS = ("assign", "access", "hex", "pem_key", "der_key", "openssh_key", "signed_token")
 
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-#: Lines may end in an escaped newline; headers, with the cipher and its start value, come before the body.
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?:\s|\\[nr])+[A-Za-z-]+: [^\n\\]*)*)((?:[A-Za-z0-9+/=\s]|\\[nr])+)-----END \1-----")
+#: Of a key's armour; lines may end in an escaped newline; header lines, with the cipher and its
+#: start value, come before the body. No part can reach beyond the next run of five hyphens.
+_BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----")
+_HEADER = re.compile(r"(?:\s|\\[nr])++[A-Za-z-]++: (?:[^\n\\-]|-(?!----))*+(?=[\n\\])")
+_BODY = re.compile(r"(?:[A-Za-z0-9+/=\s]|\\[nr])++")
 _CIPHER = re.compile(r"DEK-Info: ([A-Z0-9-]+),((?:[0-9A-Fa-f]{16}){1,2})\s*$", re.MULTILINE)
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 _HEX_BLOB = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{2}){24,}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:[0-9A-F]{2}){24,}(?![0-9A-Za-z])")
@@ -170,6 +174,21 @@ def key_kind(data: bytes | None) -> str | None:
     return "der_key" if is_der_key(data) else "openssh_key" if is_openssh_key(data) else None
 
 
+def armoured(text: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, label, headers, body) of what stands between begin and end lines of one label."""
+    at = 0
+    while begin := _BEGIN.search(text, at):
+        at = first = begin.end()
+        while line := _HEADER.match(text, at):
+            at = line.end()
+        body = _BODY.match(text, at)
+        if body and text.startswith(last := f"-----END {begin[1]}-----", body.end()):
+            yield begin.start(), body.end() + len(last), begin[1], text[first:at], body[0]
+            at = body.end() + len(last)
+        else:
+            at = first
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     out = []
     lower = text.lower()
@@ -186,21 +205,22 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     out = []
     inside: list[tuple[int, int]] = []
     if "-----BEGIN" in text:
-        for m in _PEM.finditer(text):
-            data = decode_base64("".join(re.sub(r"\\[nr]", "", m[3]).split()))
-            cipher = _CIPHER.search(m[2].replace("\\n", "\n")) if "ENCRYPTED" in m[2] else None
+        for start, end, name, headers, body in armoured(text):
+            data = decode_base64("".join(re.sub(r"\\[nr]", "", body).split()))
+            cipher = _CIPHER.search(headers.replace("\\n", "\n")) if "ENCRYPTED" in headers else None
             # an encrypted body is whole blocks, as long as the start value
             blocks = cipher and data and len(data) >= 32 and len(data) % (len(cipher[2]) // 2) == 0
-            if key_kind(data) or m[1].startswith("ENCRYPTED") and is_encrypted_key(data) or blocks:
-                out.append((m.start(), m.end(), "pem_key"))
-                inside.append(m.span())
+            if key_kind(data) or name.startswith("ENCRYPTED") and is_encrypted_key(data) or blocks:
+                out.append((start, end, "pem_key"))
+                inside.append((start, end))
     if "eyJ" in text:
         out += [(m.start(), m.end(), "signed_token") for m in _TOKEN.finditer(text) if is_signed_token(m[0])]
     for m in _BASE64.finditer(text):
         # a DER sequence begins with 0x30, the OpenSSH magic with "open": the first characters tell
         if m[0][0] == "M" or m[0].startswith("b3BlbnNzaC1rZXktdjE"):
             kind = key_kind(decode_base64(m[0]))
-            if kind and not any(a <= m.start() < b for a, b in inside):
+            before = bisect_right(inside, (m.start(), len(text)))
+            if kind and not (before and m.start() < inside[before - 1][1]):
                 out.append((m.start(), m.end(), kind))
     for m in _HEX_BLOB.finditer(text):
         if m[0][:2] == "30" or m[0][:8].lower() == "6f70656e":
