@@ -92,20 +92,23 @@ def common_words(values: np.ndarray, row: np.ndarray, a: np.ndarray, b: np.ndarr
     return low
 
 
-def maximal_repeats(values: np.ndarray, row: np.ndarray, order: np.ndarray, depth: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(length, places) of each maximal repeat of `least` values or more within a row.
+def maximal_repeats(values: np.ndarray, row: np.ndarray, order: np.ndarray, depth: np.ndarray, least: int) -> np.ndarray:
+    """The row of each maximal repeat of `least` values or more: one entry for each repeat.
 
-    order is the suffix array, depth the values that neighbours in it share.
+    order is the suffix array, depth the values that neighbours in it share. An interval of common
+    prefixes is a maximal repeat if its members follow different values; its places aren't walked.
     """
     left = np.where((order > 0) & (row[np.maximum(order - 1, 0)] == row[order]), values[np.maximum(order - 1, 0)], np.uint64(0))
     alone = (order == 0) | (row[np.maximum(order - 1, 0)] != row[order])
     differs = np.concatenate([[0], np.cumsum((left[1:] != left[:-1]) | alone[1:] | alone[:-1])])
     deep = np.concatenate([[False], depth >= least, [False]])
     firsts, lasts = np.flatnonzero(deep[1:] & ~deep[:-1]), np.flatnonzero(deep[:-1] & ~deep[1:])
+    found = []
     for a, b in zip(firsts.tolist(), lasts.tolist(), strict=True):
-        for d, i, j in prefix_intervals(depth[a:b].tolist()):
-            if d >= least and differs[a + j] > differs[a + i]:
-                yield d, order[a + i : a + j + 1]
+        told = differs[a : b + 1].tolist()
+        n = sum(d >= least and told[j] > told[i] for d, i, j in prefix_intervals(depth[a:b].tolist()))
+        found += [row[order[a]]] * n
+    return np.array(found, np.int64)
 
 
 def _sum_by_row(flags: np.ndarray, cuts: np.ndarray) -> np.ndarray:
@@ -152,7 +155,8 @@ def measures(words: Words, rules: Rules) -> dict[str, np.ndarray]:
     np.add.at(edge, at + k, -1)
     out["n_repeat_words"] = np.bincount(row, np.cumsum(edge[:-1]) > 0, n_rows).astype(np.int64)
 
-    # repeats by the suffix array: the spans of short ones, then the maximal ones of a window or more
+    # repeats by the suffix array: a place's longest repeat, and the number of maximal ones. A place's
+    # longest repeat that isn't maximal lies within that of the place before, so the spans are the same
     longest, repeats = np.zeros(n_rows, dtype=np.int64), np.zeros(n_rows, dtype=np.int64)
     edge[:] = 0
     short = edge.copy()
@@ -161,15 +165,12 @@ def measures(words: Words, rules: Rules) -> dict[str, np.ndarray]:
         depth = common_words(words.hashes, row, suffixes[:-1], suffixes[1:])
         reach = np.empty(n, dtype=np.int64)
         reach[suffixes] = np.maximum(np.append(depth, 0), np.append(0, depth))
-        at = np.flatnonzero(reach >= rules.short_window)
-        np.add.at(short, at, 1)
-        np.add.at(short, at + reach[at], -1)
-        for length, places in maximal_repeats(words.hashes, row, suffixes, depth, k):
-            np.add.at(edge, places, 1)
-            np.add.at(edge, places + length, -1)
-            r = row[places[0]]
-            longest[r] = max(longest[r], length)
-            repeats[r] += 1
+        for spans, least in ((short, rules.short_window), (edge, k)):
+            at = np.flatnonzero(reach >= least)
+            np.add.at(spans, at, 1)
+            np.add.at(spans, at + reach[at], -1)
+        np.maximum.at(longest, row[at], reach[at])
+        repeats = np.bincount(maximal_repeats(words.hashes, row, suffixes, depth, k), minlength=n_rows)
     out["covered_chars"] = np.bincount(row, chars * (np.cumsum(edge[:-1]) > 0), n_rows).astype(np.int64)
     out["short_repeat_chars"] = np.bincount(row, chars * (np.cumsum(short[:-1]) > 0), n_rows).astype(np.int64)
     out["longest_repeat"], out["n_repeats"] = longest, repeats
