@@ -10,35 +10,43 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..sources.files import held
 from . import retrieval as R
+from . import vector_index as X
 
 #: Scores of records found by address and by evidence, pages below which none is left out, postings of a page term.
 ADDRESS_SCORE, EVIDENCE_SCORE, FEW_PAGES, PAGE_TERM_CAP = 10.0, 8.0, 128, 128
+#: Pages of the nearest vectors that are scored.
+NEAR_PAGES = 32
 #: Records that a query with a name gets at least, if so many match.
 DIRECT_RECORDS = 8
 
 
-def candidate_pages(queries: DataFrame, records: DataFrame, pages: DataFrame, few: int = FEW_PAGES, bits: int = 12, dims: int = 64, cap: int = PAGE_TERM_CAP) -> DataFrame:
+def candidate_pages(
+    queries: DataFrame, records: DataFrame, pages: DataFrame, few: int = FEW_PAGES, near: int = NEAR_PAGES, dims: int = 64, cap: int = PAGE_TERM_CAP, post: DataFrame | None = None,
+    address: DataFrame | None = None, target: float = 0.99,
+) -> DataFrame:
     """(query_id, page_id): the pages that are worth a score.
 
-    All of them if there are at most `few`. Else those of a near signature, those of terms that at
-    most `cap` pages or `cap` records have, those of address hits and the hot ones; a query without
-    any gets the first `few`. queries has query_id, tokens and vector; records record_id, page_id,
-    entity, attribute, value and tokens; pages page_id, vector and tier, of which few are hot.
-    Only ids of `few` pages and of the hot ones come to the driver.
+    All of them if there are at most `few`. Else the `near` nearest by a vector index whose probes hold
+    `target` of them on its sample, those of terms that at most `cap` pages or `cap` records have, those
+    of address hits and the hot ones; a query without any gets the first `few`. queries has query_id,
+    tokens and vector; records record_id, page_id, entity, attribute, value and tokens; pages page_id,
+    vector and tier, of which few are hot. post (term, record_id, page_id) and address are the asked
+    postings and address hits, where the caller has them. Only ids of `few` pages, the hot ones and
+    the index's centroids come to the driver.
     """
     first = [r.page_id for r in pages.select("page_id").orderBy("page_id").limit(few + 1).collect()]
     with_all = lambda ids: queries.select("query_id", F.explode(F.array(*map(F.lit, ids))).alias("page_id"))
     if len(first) <= few:
         return with_all(first) if first else queries.join(pages.select("page_id"), F.lit(False)).select("query_id", "page_id")
-    codes = pages.select("page_id", V.signature(F.col("vector"), bits, dims).alias("code"))
-    near = queries.select("query_id", F.explode(V.probes(V.signature(F.col("vector"), bits, dims), bits)).alias("code")).join(codes, "code").select("query_id", "page_id")
+    closest = X.nearest(queries, pages.withColumnRenamed("page_id", "record_id"), near, target=target, dims=dims, apart=False).select("query_id", F.col("record_id").alias("page_id"))
+    post = held(R.asked_postings(queries, records, "page_id")) if post is None else post
+    address = R.address_hits(queries, records) if address is None else address.join(queries.select("query_id"), "query_id", "left_semi")
     home = records.select("record_id", "page_id")
-    asked = R.postings(queries, "query_id")
-    own = R.postings(records, "page_id").join(asked.select("term").distinct(), "term", "left_semi").distinct()
-    by_page = own.join(R.capped(own, cap), "term").join(asked, "term").select("query_id", "page_id")
-    by_record = R.lexical_candidates(queries, records, cap).union(R.address_hits(queries, records)).join(home, "record_id").select("query_id", "page_id")
+    own = post.select("term", "page_id").distinct()
+    by_page = own.join(R.capped(own, cap), "term").join(R.postings(queries, "query_id"), "term").select("query_id", "page_id")
+    by_record = R.lexical_candidates(queries, records, cap, post).union(address).join(home, "record_id").select("query_id", "page_id")
     hot = [r.page_id for r in pages.where("tier = 'hot'").select("page_id").collect()]
-    found = near.union(by_page).union(by_record)
+    found = closest.union(by_page).union(by_record)
     found = (found.union(with_all(hot)) if hot else found).distinct()
     return found.union(with_all(first[:few]).join(found, "query_id", "left_anti"))
 
@@ -71,8 +79,8 @@ def _is_symbol(attribute: Column) -> Column:
 
 
 def read(
-    queries: DataFrame, records: DataFrame, pages: DataFrame, edges: DataFrame, k: int = 5, most_pages: int = 4, most_hops: int = 3, least: float = -1.0, few: int = FEW_PAGES, bits: int = 12,
-    dims: int = 64, digits: int = 6,
+    queries: DataFrame, records: DataFrame, pages: DataFrame, edges: DataFrame, k: int = 5, most_pages: int = 4, most_hops: int = 3, least: float = -1.0, few: int = FEW_PAGES, near: int = NEAR_PAGES,
+    dims: int = 64, digits: int = 6, target: float = 0.99,
 ) -> DataFrame:
     """(query_id, record_id, path, hop, score, rank): the records that each query reads.
 
@@ -88,7 +96,8 @@ def read(
     """
     q = queries.select("query_id", "query", F.col("tokens").alias("q_tokens"))
     address = held(R.address_hits(queries, records))
-    evidence = held(R.evidence_hits(queries, records).select("query_id", "record_id"))
+    post = held(R.asked_postings(queries, records, "page_id"))  # the records' terms are taken apart once
+    evidence = held(R.evidence_hits(queries, records, post=post).select("query_id", "record_id"))
     content = evidence.join(address, ["query_id", "record_id"], "left_anti")
     hits = address.withColumn("base", F.lit(ADDRESS_SCORE)).union(content.withColumn("base", F.lit(EVIDENCE_SCORE)))
     own = records.select("record_id", "entity", "attribute", "value", F.col("tokens").alias("r_tokens"))
@@ -107,8 +116,8 @@ def read(
     home = records.select("record_id", "page_id")
     routed = address.union(evidence).join(rest.select("query_id"), "query_id", "left_semi").join(home, "record_id").select("query_id", "page_id").distinct()
     open_ = rest.join(routed, "query_id", "left_anti")
-    rare = held(R.rare_scores(rest, records))
-    candidates = candidate_pages(open_, records, pages, few, bits, dims)
+    rare = held(R.rare_scores(rest, records, post=post))
+    candidates = held(candidate_pages(open_, records, pages, few, near, dims, post=post, address=address, target=target))
     front = held(routed.union(_best_pages(candidates, open_, records, pages, rare, most_pages, least, digits)))
     found = None
     for hop in range(most_hops):

@@ -39,16 +39,25 @@ def capped(post: DataFrame, cap: int) -> DataFrame:
     return post.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") <= cap)
 
 
-def shared_terms(queries: DataFrame, records: DataFrame, cap: int) -> DataFrame:
-    """(query_id, record_id, term): postings of terms that the queries have and that few records have."""
+def asked_postings(queries: DataFrame, records: DataFrame, *keys: str) -> DataFrame:
+    """(term, record_id, keys) of the records' terms that some query has."""
+    post = records.select(F.explode("tokens").alias("term"), "record_id", *keys)
+    return post.join(postings(queries, "query_id").select("term").distinct(), "term", "left_semi")
+
+
+def shared_terms(queries: DataFrame, records: DataFrame, cap: int, post: DataFrame | None = None) -> DataFrame:
+    """(query_id, record_id, term, df): postings of terms that the queries have and that few records have.
+
+    post are the asked_postings of these or more queries, where the caller has them.
+    """
     asked = postings(queries, "query_id")
-    post = postings(records, "record_id").join(asked.select("term").distinct(), "term", "left_semi")
+    post = asked_postings(queries, records) if post is None else post
     rare = capped(post, cap)
     return post.join(rare, "term").join(asked, "term").select("query_id", "record_id", "term", "df")
 
 
-def lexical_candidates(queries: DataFrame, records: DataFrame, cap: int = EVIDENCE_CAP) -> DataFrame:
-    return shared_terms(queries, records, cap).select("query_id", "record_id").distinct()
+def lexical_candidates(queries: DataFrame, records: DataFrame, cap: int = EVIDENCE_CAP, post: DataFrame | None = None) -> DataFrame:
+    return shared_terms(queries, records, cap, post).select("query_id", "record_id").distinct()
 
 
 def with_tokens(pairs: DataFrame, queries: DataFrame, records: DataFrame) -> DataFrame:
@@ -65,11 +74,11 @@ def lexical_top_k(queries: DataFrame, records: DataFrame, k: int = 5, cap: int =
     return top_k(scored, k)
 
 
-def evidence_hits(queries: DataFrame, records: DataFrame, cap: int = EVIDENCE_CAP) -> DataFrame:
+def evidence_hits(queries: DataFrame, records: DataFrame, cap: int = EVIDENCE_CAP, post: DataFrame | None = None) -> DataFrame:
     """(query_id, record_id, n_terms): enough shared rare terms, or one that tells by itself."""
     letters = F.col("term").rlike("^[a-z_]*$")
     telling = letters & (T.is_address_term(F.col("term")) | T.is_symbol_term(F.col("term")) | T.is_value_term(F.col("term")))
-    hits = shared_terms(queries, records, cap).groupBy("query_id", "record_id").agg(
+    hits = shared_terms(queries, records, cap, post).groupBy("query_id", "record_id").agg(
         F.count("*").alias("n_terms"), F.bool_or(telling).alias("telling"), F.bool_or(letters).alias("letters")
     )
     return hits.where("telling or (letters and n_terms >= 2) or n_terms >= 3").select("query_id", "record_id", "n_terms")
@@ -109,9 +118,9 @@ def matches_address(query: Column, query_tokens: Column, entity: Column, attribu
     )
 
 
-def rare_scores(queries: DataFrame, records: DataFrame, cap: int = RARE_RECORD_CAP) -> DataFrame:
+def rare_scores(queries: DataFrame, records: DataFrame, cap: int = RARE_RECORD_CAP, post: DataFrame | None = None) -> DataFrame:
     """(query_id, record_id, rare): shared terms that few records have, 2 at most."""
-    return shared_terms(queries, records, cap).groupBy("query_id", "record_id").agg(F.least(F.lit(2.0), F.count("*").cast("double")).alias("rare"))
+    return shared_terms(queries, records, cap, post).groupBy("query_id", "record_id").agg(F.least(F.lit(2.0), F.count("*").cast("double")).alias("rare"))
 
 
 def record_scores(pairs: DataFrame, rare: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:

@@ -8,16 +8,19 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import metrics as M
-from ..operators import retrieval as R
+from ..operators import vector_index as X
 from ..sources.files import markdown_table, read_table
-from .retrieval_queries import _VECTORS, BITS, DIMS, vectors
+from .retrieval_queries import _EVERY, DIMS, vectors
 
+#: Neighbours that are ranked.
+NEIGHBOURS = 32
 THRESHOLDS = (0.1, 0.2, 0.3, 0.5, 0.7, 0.9)
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The NEIGHBOURS nearest records of each query, by the vector index, and whether their labels agree."""
     q, r = vectors(spark, sf_dir)
-    pairs = R.dense_scores(q, r, BITS, DIMS).where("query_id <> record_id").select("query_id", "record_id", F.round("cosine", 6).alias("score"))
+    pairs = X.nearest(q, r, NEIGHBOURS, target=1.0, dims=DIMS).drop("rank")
     return pairs.join(q.select("query_id", F.col("label").alias("q_label")), "query_id").join(r.select("record_id", "label"), "record_id").withColumn("relevant", F.col("label") == F.col("q_label"))
 
 
@@ -159,8 +162,9 @@ QUERIES = {
     )
 }
 
-_S = f"""{_VECTORS},
-    s AS (SELECT query_id, record_id, round(cosine, 6) AS score, a.label AS q_label, a.label = b.label AS relevant FROM n JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = record_id)"""
+_S = f"""{_EVERY},
+    s AS (SELECT query_id, record_id, round(cosine, 6) AS score, a.label AS q_label, a.label = b.label AS relevant FROM n JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = record_id
+          QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, record_id) <= {NEIGHBOURS})"""
 _F = """
     k AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY score DESC, record_id) AS rk FROM {rows}),
     f AS (SELECT {by}, min(rk) FILTER (relevant)::INT AS first_rank, count(*) FILTER (relevant) AS n_relevant, count(*) FILTER (relevant AND rk <= 1) AS hits1, count(*) FILTER (relevant AND rk <= 3) AS hits3,

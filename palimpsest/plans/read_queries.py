@@ -6,13 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions import vectors as V
 from ..operators import reads as RD
 from ..sources.files import held, read_spread, read_table
-from .retrieval_queries import _ADDRESS, _DOT, _SYMBOL, _VALUE, BITS, DIMS
+from .retrieval_queries import _ADDRESS, _DOT, _SYMBOL, _VALUE, DIMS
 from .text_queries import lexical_sql, tokens_sql
 
-PAGE_ROWS, FEW, HOT = 8, 16, 2
+PAGE_ROWS, FEW, HOT, NEAR = 8, 16, 2, 8
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -40,19 +39,18 @@ def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
 def q_candidate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many pages each item's read would score, and the least and largest of them."""
     q, r, p, _ = _tables(spark, sf_dir)
-    return RD.candidate_pages(q, r, p, FEW, BITS, DIMS, 16).groupBy("query_id").agg(F.count("*").alias("n_pages"), F.min("page_id").alias("first_page"), F.max("page_id").alias("last_page"))
+    return RD.candidate_pages(q, r, p, FEW, NEAR, DIMS, 16, target=1.0).groupBy("query_id").agg(F.count("*").alias("n_pages"), F.min("page_id").alias("first_page"), F.max("page_id").alias("last_page"))
 
 
 def q_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records that each item reads: direct ones, or those of its best page and of linked pages."""
     q, r, p, edges = _tables(spark, sf_dir)
-    return RD.read(q, r, p, edges, k=10, most_pages=1, few=FEW, bits=BITS, dims=DIMS)
+    return RD.read(q, r, p, edges, k=10, most_pages=1, few=FEW, near=NEAR, dims=DIMS, target=1.0)
 
 
 QUERIES = {f.__name__: f for f in (q_candidate_pages, q_read)}
 
 _LOW = "regexp_extract_all(lower(text), '[a-z0-9'']+')"
-_CODE = " + ".join(f"(CASE WHEN list_sum(list_transform(range(1, {DIMS + 1}), lambda i: v[i]::DOUBLE * {V.plane(b, DIMS)}[i])) >= 0 THEN {1 << b} ELSE 0 END)" for b in range(BITS))
 _BASE = rf"""
     q0 AS (SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN text ELSE array_to_string(({_LOW})[1:3], ' ') END AS query FROM benchmark),
     q AS MATERIALIZED (SELECT query_id, query, {tokens_sql("query")} AS tokens, embedding AS v FROM q0 JOIN embeddings ON vec_id = query_id),
@@ -68,9 +66,10 @@ _BASE = rf"""
     vl AS (SELECT record_id, term FROM (SELECT record_id, unnest(vk) AS term FROM k) WHERE {_VALUE}),
     ad AS MATERIALIZED (SELECT query_id, record_id FROM nm JOIN qt USING (term) WHERE term IN (SELECT term FROM nm GROUP BY term HAVING count(*) <= 256)
            UNION SELECT query_id, record_id FROM vl JOIN qt USING (term) WHERE term IN (SELECT term FROM vl GROUP BY term HAVING count(*) <= 128))"""
+_COS = lambda a, b: f"({_DOT.format(a, b)} / (sqrt({_DOT.format(a, a)}) * sqrt({_DOT.format(b, b)})))"
 _PAGES = f"""
-    pc AS (SELECT page_id, ({_CODE})::BIGINT AS code FROM pg), qc AS (SELECT query_id, ({_CODE})::BIGINT AS code FROM q),
-    cp0 AS (SELECT query_id, page_id FROM qc JOIN pc ON bit_count(xor(qc.code, pc.code)) <= 2 UNION SELECT query_id, page_id FROM sh WHERE pages <= {{cap}} OR df <= {{cap}}
+    cl AS (SELECT q.query_id, pg.page_id, round({_COS("q.v", "pg.v")}, 6) AS c FROM q, pg QUALIFY row_number() OVER (PARTITION BY q.query_id ORDER BY c DESC, page_id) <= {NEAR}),
+    cp0 AS (SELECT query_id, page_id FROM cl UNION SELECT query_id, page_id FROM sh WHERE pages <= {{cap}} OR df <= {{cap}}
             UNION SELECT query_id, page_id FROM ad JOIN r USING (record_id) UNION SELECT query_id, page_id FROM q, pg WHERE hot),
     cold AS (SELECT page_id FROM pg ORDER BY page_id LIMIT {FEW}),
     cp AS MATERIALIZED (SELECT query_id, page_id FROM q, pg WHERE (SELECT count(*) FROM pg) <= {FEW} UNION SELECT query_id, page_id FROM cp0 WHERE (SELECT count(*) FROM pg) > {FEW}
@@ -79,7 +78,6 @@ _AGREES = rf"""(SELECT CASE WHEN z.entity = '' THEN false WHEN fm AND sy AND NOT
         ELSE em AND (am OR vm) END FROM (SELECT contains(lower(z.query), z.entity) OR len(list_filter(z.ek, lambda term: list_contains(z.qk, term) AND {_ADDRESS})) > 0 AS em,
         (z.attribute <> '' AND contains(lower(z.query), z.attribute)) OR len(list_filter(z.ak, lambda term: list_contains(z.qk, term) AND ({_ADDRESS} OR (starts_with(z.attribute, 'symbol:') AND {_SYMBOL})))) > 0 AS am,
         len(list_filter(z.vk, lambda term: list_contains(z.qk, term) AND {_VALUE})) > 0 AS vm, starts_with(z.attribute, 'symbol:') AS sy, regexp_matches(lower(z.query), '(?:[a-z0-9_.\\/-]+)\.(?:py|md|json|toml|yaml|yml)') AS fm))"""
-_COS = lambda a, b: f"({_DOT.format(a, b)} / (sqrt({_DOT.format(a, a)}) * sqrt({_DOT.format(b, b)})))"
 _PAIRS = f"""SELECT q.query_id, q.query, q.tokens AS qk, k.*, {_COS("q.v", "k.v")} AS routed, {lexical_sql("q.tokens", "k.tokens")} AS lexical,
         CASE WHEN len(q.tokens) = 0 THEN 0.0 ELSE len(list_intersect(q.tokens, k.tokens))::DOUBLE / len(q.tokens) END AS overlap, coalesce(rare, 0.0)::DOUBLE AS rare,
         CASE WHEN length(k.entity) >= 4 AND contains(lower(trim(q.query)), k.entity) THEN 1 ELSE 0 END AS named,

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import metrics as M
 from ..operators import retrieval as R
+from ..operators import vector_index as X
 from ..sources.files import held, read_spread, read_table
 from .text_queries import lexical_sql, terms_sql, tokens_sql
 
@@ -144,6 +145,11 @@ def q_dense_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.dense_top_k(*vectors(spark, sf_dir), 5)
 
 
+def q_dense_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As q_dense_topk, through the vector index: codes of probed cells first, then 20 vectors of each query as they are."""
+    return X.nearest(*vectors(spark, sf_dir), 5, target=1.0, dims=DIMS)
+
+
 def q_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors by signature, and the bits between each and the first one of its label."""
     e = read_table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("v")).withColumn("code", V.signature(F.col("v"), BITS, DIMS))
@@ -152,11 +158,11 @@ def q_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_dense_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors as documents of the same number: dense candidates, reranked with their texts."""
+    """Vectors as documents of the same number: the eight nearest by the vector index, reranked with their texts."""
     q, r = vectors(spark, sf_dir)
     d = read_table(spark, sf_dir, "documents")
     text = lambda name, prefix: d.select(F.col("doc_id").alias(name), F.col("text").alias(f"{prefix}_text"), F.col("source").alias(f"{prefix}_source"), F.col("lang").alias(f"{prefix}_lang"))
-    top = R.top_k(R.dense_scores(q, r, BITS, DIMS).where("query_id <> record_id"), 8, score="cosine")
+    top = X.nearest(q, r, 8, target=1.0, digits=12, dims=DIMS).withColumnRenamed("score", "cosine")
     pairs = top.join(text("query_id", "q"), "query_id").join(text("record_id", "r"), "record_id")
     pairs = pairs.select(
         "query_id", "record_id", "cosine", F.concat_ws(" ", "q_source", "q_text").alias("query"), T.terms(F.col("q_text")).alias("q_terms"), T.terms(F.col("r_text")).alias("r_terms"),
@@ -212,7 +218,7 @@ def q_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        q_lexical_topk, q_evidence_hits, q_address_hits, q_bm25, q_bm25_pools, q_lexical_rag, q_record_scores, q_page_scores, q_read_gates, q_dense_topk, q_signature_probe, q_dense_exact_topk, q_signatures,
+        q_lexical_topk, q_evidence_hits, q_address_hits, q_bm25, q_bm25_pools, q_lexical_rag, q_record_scores, q_page_scores, q_read_gates, q_dense_topk, q_signature_probe, q_dense_exact_topk, q_dense_index_topk, q_signatures,
         q_dense_rerank, q_dense_rerank_united, q_chunk_overlap, q_hops, q_evidence_chain, q_centroids,
     )
 }
@@ -300,11 +306,11 @@ SQL = {
               WHEN top1 IS NULL THEN 'no_relevant_evidence' WHEN margin < 0.05 AND NOT ev THEN 'insufficient_evidence_margin' WHEN top1 < 0.65 AND st >= 3 THEN 'token_evidence_override'
               WHEN top1 < 0.65 AND NOT ev THEN 'below_read_threshold' ELSE 'evidence_found' END AS stop_reason FROM a)
         SELECT query_id, stop_reason, stop_reason IN ('evidence_found', 'token_evidence_override') AS reads, round(margin, 6) AS margin, round(least(1.0, greatest(0.0, coalesce(top1, 0))), 6) AS confidence FROM w""",
-    **dict.fromkeys(("q_dense_topk", "q_dense_exact_topk"), f"WITH {_EVERY} " + _top_sql("SELECT query_id, record_id, round(cosine, 6) AS score FROM n", 5)),
+    **dict.fromkeys(("q_dense_topk", "q_dense_exact_topk", "q_dense_index_topk"), f"WITH {_EVERY} " + _top_sql("SELECT query_id, record_id, round(cosine, 6) AS score FROM n", 5)),
     "q_signature_probe": f"WITH {_VECTORS} " + _top_sql("SELECT query_id, record_id, round(cosine, 6) AS score FROM n", 5),
     "q_signatures": f"WITH {_VECTORS}, f AS (SELECT label, min_by(code, vec_id) AS fc FROM e GROUP BY label) SELECT vec_id, code, bit_count(xor(code, fc))::INT AS bits, round(sqrt({_DOT.format('v', 'v')}), 5) AS norm FROM e JOIN f USING (label)",
     "q_dense_rerank": f"""
-        WITH {_VECTORS}, tk AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, record_id) <= 8),
+        WITH {_EVERY}, tk AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 12) DESC, record_id) <= 8),
         x AS (SELECT query_id, record_id, cosine, lower(a.source || ' ' || a.text) AS query, {terms_sql("a.text")} AS qx, {terms_sql("b.text")} AS rx, lower(b.source) AS entity, lower(b.lang) AS attribute
               FROM tk JOIN documents a ON a.doc_id = query_id JOIN documents b ON b.doc_id = record_id) """
     + _top_sql("""SELECT query_id, record_id, round(0.35::DOUBLE * ((cosine + 1) * 0.5::DOUBLE) + 0.15::DOUBLE * (len(list_intersect(qx, rx)) / sqrt(greatest(1, len(qx) * len(rx))::DOUBLE))

@@ -18,7 +18,7 @@ def _tables(spark):
 
 def test_read_takes_names_first_then_pages_and_links(spark):
     q, r, p, e = _tables(spark)
-    rows = RD.read(q, r, p, e, k=3, most_pages=1, dims=2, bits=2).collect()
+    rows = RD.read(q, r, p, e, k=3, most_pages=1, dims=2).collect()
     named = [x for x in rows if x.query_id == 1]
     assert [(x.record_id, x.path, x.rank) for x in named] == [(5, "direct", 1)] and named[0].score > 10
     # query 2 has no name: page 0 (its vector is the query's), then page 2, to which record 0 links
@@ -28,9 +28,9 @@ def test_read_takes_names_first_then_pages_and_links(spark):
 
 def test_candidate_pages(spark):
     q, r, p, _ = _tables(spark)
-    assert RD.candidate_pages(q, r, p, few=4, dims=2, bits=2).count() == 8
-    assert RD.candidate_pages(q, r, p.limit(0), few=4, dims=2, bits=2).count() == 0
-    some = {(x.query_id, x.page_id) for x in RD.candidate_pages(q, r, p, few=1, dims=2, bits=12).collect()}
+    assert RD.candidate_pages(q, r, p, few=4, dims=2).count() == 8
+    assert RD.candidate_pages(q, r, p.limit(0), few=4, dims=2).count() == 0
+    some = {(x.query_id, x.page_id) for x in RD.candidate_pages(q, r, p, few=1, near=1, dims=2).collect()}
     assert (1, 2) in some and {a for a, _ in some} == {1, 2}
 
 
