@@ -13,15 +13,25 @@ from pyspark.sql import functions as F
 from palimpsest.llm import decontamination, mixing, ngram_join, quality_model, sharding
 from palimpsest.llm.cluster import fresh_path
 
+#: Rows of an Arrow batch: texts may be long, and executors hold a few batches of them beside their heap.
+BATCH_ROWS = 1000
 #: The lowest quality score that stays; labels of fold 0 of 5 are never learned.
 LEAST_QUALITY = 0.3
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to BATCH_ROWS, unless they are smaller already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose quality score reaches LEAST_QUALITY.
 
     A null or empty text has the score of a text without features; equal texts have equal scores.
     """
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     fold = lambda key: F.crc32(F.encode(key, "UTF-8")) % 5 != 0
     model = quality_model.train(docs, labels, "doc_id", "text", "quality", fold)
@@ -33,6 +43,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows that share an id are one document: they stay or go together. Rows without id stay.
     """
+    small_batches(spark)
     found = ngram_join.ngram_components(docs.select("doc_id", "text"))
     dropped = found.where("id <> component_id").select(F.col("id").alias("dropped")).distinct()
     return docs.join(dropped, docs["doc_id"] == dropped["dropped"], "left_anti")
@@ -40,6 +51,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold no benchmark item; null and empty texts hold none, repeated rows are judged alike."""
+    small_batches(spark)
     return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
