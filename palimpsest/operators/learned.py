@@ -87,7 +87,11 @@ def inherited_keys(turns: DataFrame, scored: DataFrame, floor: float = 5.0) -> D
     return turns.join(best, "query_id", "left").withColumn("attribute", own).drop("_attribute", "_score")
 
 
-def forget_matches(requests: DataFrame, records: DataFrame, threshold: float = 0.22) -> DataFrame:
+#: Fixed value: the share of a request's tokens that a record must have to be forgotten.
+FORGET_SHARE = 0.22
+
+
+def forget_matches(requests: DataFrame, records: DataFrame, threshold: float = FORGET_SHARE) -> DataFrame:
     """(query_id, record_id): of each request the record of most shared tokens, from the threshold on.
 
     Both have tokens; the join is on tokens, so only records that share one are compared.

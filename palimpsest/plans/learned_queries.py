@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import learned as N
+from ..operators import postings as P
 from ..sources.files import generated_episodes, read_table
 from .retrieval_queries import vectors
 
@@ -48,10 +49,10 @@ def q_hot_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_forget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The record that each request to forget means: benchmark items against turns."""
+    """The record that each request to forget means, the one of most shared tokens: benchmark items against turns."""
     q = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.terms(F.col("text")).alias("tokens"))
     r = read_table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("record_id"), T.terms(F.col("text")).alias("tokens"))
-    return N.forget_matches(q, r)
+    return P.overlap_top_k(q, r, 1, N.FORGET_SHARE).select("query_id", "record_id")
 
 
 def q_generated(spark: SparkSession, sf_dir: str) -> DataFrame:

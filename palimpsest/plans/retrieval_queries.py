@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import metrics as M
+from ..operators import postings as P
 from ..operators import retrieval as R
 from ..operators import vector_index as X
 from ..sources.files import held, read_spread, read_table
@@ -62,10 +63,10 @@ def q_address_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten best documents of each item by BM25."""
+    """The ten best documents of each item by BM25, from score-bounded postings."""
     q = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.bm25_words(F.col("text")).alias("words"))
     r = read_spread(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), T.bm25_words(F.col("text")).alias("words"))
-    return R.top_k(R.bm25(q, r).withColumn("score", F.round("score", 6)), 10)
+    return P.bm25_top_k(q, r, 10)
 
 
 def q_bm25_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +188,7 @@ def q_chunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read_spread(spark, sf_dir, "documents").select("doc_id", F.explode(T.chunks(F.col("text"))).alias("c"))
     c = c.select((F.col("doc_id") * 1000 + F.col("c.start") / 1800).cast("long").alias("chunk_id"), T.terms(F.col("c.chunk")).alias("tokens"))
     q = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.terms(F.col("text")).alias("tokens"))
-    return R.chunk_overlap(q, c, 3)
+    return P.overlap_top_k(q, c, 3, key="chunk_id")
 
 
 def q_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
