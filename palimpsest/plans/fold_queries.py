@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from ..operators import folds
 from ..operators.learned import PairMlp
+from ..operators.placement import consolidate, place
 from ..sources.files import read_table
 from .learned_queries import small_layers
+from .retrieval_queries import _DOT
 
 
 def document_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,9 +52,54 @@ def q_slot_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"overlap": F.round("overlap", 6), "learned": F.round("learned", 6)})
 
 
-QUERIES = {f.__name__: f for f in (q_ledger_text_first, q_slot_bank)}
+PAGE_ROWS, PAGE_ROOM, STAY, CAPACITY = 16, 20, 20, 32
+
+
+def q_ledger_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors on pages around every sixteenth of them, twenty to a page at most, each on the nearest with room."""
+    e = read_table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    pages = e.where(f"vec_id % {PAGE_ROWS} = 0").select(F.col("vec_id").alias("page_id"), "vector", F.lit(PAGE_ROOM).alias("room"))
+    return place(e.withColumnRenamed("vec_id", "record_id"), pages, target=1.0)
+
+
+def q_ledger_consolidated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by number merged into twenty, or as many as all vectors need, and where each record is then."""
+    e = read_table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    records = e.select(F.col("vec_id").alias("record_id"), (F.col("vec_id") - F.col("vec_id") % PAGE_ROWS).alias("page_id"), "vector")
+    pages = e.where(f"vec_id % {PAGE_ROWS} = 0").select(F.col("vec_id").alias("page_id"), "vector", (F.col("vec_id") * 7 % 11 / 11).alias("importance"))
+    return consolidate(records, pages, STAY, CAPACITY, align=1.0)
+
+
+QUERIES = {f.__name__: f for f in (q_ledger_text_first, q_slot_bank, q_ledger_placed, q_ledger_consolidated)}
+
+
+def placed_sql(rounds: int = 40) -> str:
+    """CTEs that place w (record_id, v) on p (page_id, v, room): a few for each round; `placed` is what all took."""
+    steps = [
+        f"""x AS MATERIALIZED (SELECT w.record_id, p.page_id, round({_DOT.format("w.v", "p.v")} / (sqrt({_DOT.format("w.v", "w.v")}) * sqrt({_DOT.format("p.v", "p.v")})), 6) AS score FROM w, p),
+        t0 AS MATERIALIZED (SELECT NULL::BIGINT AS record_id, NULL::BIGINT AS page_id, NULL::DOUBLE AS score WHERE false)"""
+    ]
+    for i in range(rounds):
+        steps.append(
+            f"""r{i} AS (SELECT page_id, room - count(t.record_id) AS room FROM p LEFT JOIN t{i} t USING (page_id) GROUP BY page_id, room),
+            o{i} AS (SELECT record_id, page_id, score, room FROM x JOIN r{i} USING (page_id) ANTI JOIN t{i} USING (record_id) WHERE room > 0 QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY score DESC, page_id) = 1),
+            t{i + 1} AS MATERIALIZED (SELECT * FROM t{i} UNION ALL SELECT record_id, page_id, score FROM o{i} QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY score DESC, record_id) <= max(room) OVER (PARTITION BY page_id))"""
+        )
+    return ", ".join(steps) + f", placed AS (SELECT * FROM t{rounds})"
+
 
 SQL = {
+    "q_ledger_placed": f"""
+        WITH w AS (SELECT vec_id AS record_id, embedding AS v FROM embeddings), p AS (SELECT vec_id AS page_id, embedding AS v, {PAGE_ROOM} AS room FROM embeddings WHERE vec_id % {PAGE_ROWS} = 0),
+        {placed_sql()} SELECT record_id, page_id, score FROM placed""",
+    "q_ledger_consolidated": f"""
+        WITH e AS (SELECT vec_id AS record_id, vec_id - vec_id % {PAGE_ROWS} AS page_id, embedding AS v FROM embeddings), z AS (SELECT page_id, count(*) AS n FROM e GROUP BY page_id),
+        s AS MATERIALIZED (SELECT vec_id AS page_id, embedding AS v FROM embeddings JOIN z ON page_id = vec_id WHERE vec_id % {PAGE_ROWS} = 0
+              ORDER BY vec_id * 7 % 11 DESC, n DESC, vec_id LIMIT (SELECT greatest({STAY}, (count(*) + {CAPACITY - 1}) // {CAPACITY}) FROM embeddings)),
+        k AS MATERIALIZED (SELECT record_id, page_id FROM e JOIN s USING (page_id) QUALIFY row_number() OVER (PARTITION BY page_id
+              ORDER BY round({_DOT.format("e.v", "s.v")} / (sqrt({_DOT.format("e.v", "e.v")}) * sqrt({_DOT.format("s.v", "s.v")})), 6) DESC, record_id) <= {CAPACITY}),
+        w AS (SELECT record_id, v FROM e ANTI JOIN k USING (record_id)), p AS (SELECT s.page_id, s.v, {CAPACITY} - count(k.record_id) AS room FROM s LEFT JOIN k USING (page_id) GROUP BY ALL),
+        {placed_sql()} SELECT record_id, page_id, false AS moved FROM k UNION ALL SELECT record_id, page_id, true FROM placed""",
     "q_ledger_text_first": """
         WITH RECURSIVE d AS (SELECT doc_id AS seq, doc_id % 10 = 9 AS retract, source AS entity, concat_ws(':', lang, (n_chars // 1000)::VARCHAR) AS attribute, n_chars::VARCHAR AS v, lower(trim(text)) AS t FROM documents),
         l AS (SELECT *, CASE WHEN trim(entity) <> '' AND trim(attribute) <> '' THEN lower(trim(entity)) || '::' || lower(trim(attribute)) END AS k, row_number() OVER (ORDER BY seq) AS i FROM d),
