@@ -6,6 +6,8 @@ posting lists are capped in length, so no join key can be hot; only candidates a
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
+from ..sources.files import held
 
 #: Posting list caps and score weights.
 EVIDENCE_CAP, ADDRESS_CAP, VALUE_CAP, RARE_RECORD_CAP, RARE_PAGE_CAP = 64, 256, 128, 32, 8
@@ -251,20 +254,47 @@ def dense_top_k(queries: DataFrame, records: DataFrame, k: int, digits: int = 6,
     return top_k(cells.applyInArrow(_cell(k, digits), "query_id long, record_id long, score double"), k)
 
 
-def contained_addresses(queries: DataFrame, records: DataFrame, cap: int = RERANK_ADDRESS_CAP) -> DataFrame:
-    """(query_id, record_id): records whose entity or attribute, of at most `cap` records, occurs in the query.
+def _with_grams(rows: DataFrame, text: str, size: int, *keys: str) -> DataFrame:
+    """(keys, gram): the distinct runs of `size` characters of each row's text."""
+    chars = rows.where(F.length(text) >= size).select(*keys, F.split(text, "").alias("_c"))  # a column of its own, taken apart once
+    runs = F.transform(F.sequence(F.lit(0), F.size("_c") - size), lambda i: F.concat(*(F.get("_c", i + j) for j in range(size))))
+    return chars.select(*keys, F.explode(F.array_distinct(runs)).alias("gram"))
+
+
+def contained(texts: DataFrame, needles: DataFrame, by: Sequence[str] = (), size: int = ADDRESS_CHARS) -> DataFrame:
+    """(by, text_id, needle_id): the texts (by, text_id, text) that hold a needle (by, needle_id, needle), of equal `by` columns.
 
-    An address in a query has its first four characters there, so the join is on those.
+    A needle is anchored at that of its runs of `size` characters that the fewest texts have, so a
+    prefix that many needles share joins nothing by itself; a needle with a run that no text has
+    holds nowhere. Shorter needles are their own anchor. What meets at an anchor is verified.
+    Equal needles are sought once. Empty and null ones, and null texts, give no row.
     """
-    chars = queries.select("query_id", F.lower(F.trim("query")).alias("q")).select("query_id", "q", F.split("q", "").alias("c")).where(F.size("c") >= ADDRESS_CHARS)
-    gram = F.transform(F.sequence(F.lit(0), F.size("c") - ADDRESS_CHARS), lambda i: F.concat(*(F.get("c", i + j) for j in range(ADDRESS_CHARS))))
-    grams = chars.select("query_id", F.explode(F.array_distinct(gram)).alias("gram"))
+    own = held(needles.where(F.length("needle") > 0).select(*by, "needle").distinct())
+    out = None
+    for n in range(1, size + 1):
+        now = own.where(F.length("needle") == n) if n < size else own.where(F.length("needle") >= size)
+        if not now.head(1):
+            continue
+        post = held(_with_grams(texts, "text", n, *by, "text_id"))
+        spread = post.groupBy(*by, "gram").agg(F.count("*").alias("_n"))
+        runs = _with_grams(now, "needle", n, *by, "needle").join(spread, [*by, "gram"], "left")
+        anchors = runs.groupBy(*by, "needle").agg(F.min_by("gram", F.struct("_n", "gram")).alias("gram"), F.bool_and(F.col("_n").isNotNull()).alias("_all")).where("_all").drop("_all")
+        met = post.join(anchors, [*by, "gram"]).select(*by, "text_id", "needle")
+        out = met if out is None else out.union(met)
+    if out is None:
+        return texts.join(needles.drop("needle"), [*by], "inner").where("false").select(*by, "text_id", "needle_id") if by else texts.crossJoin(needles.select("needle_id")).where("false").select("text_id", "needle_id")
+    found = out.join(texts.select(*by, "text_id", "text"), [*by, "text_id"]).where(F.col("text").contains(F.col("needle"))).select(*by, "text_id", "needle")
+    return found.join(needles.select(*by, "needle_id", "needle"), [*by, "needle"]).select(*by, "text_id", "needle_id")
+
+
+def contained_addresses(queries: DataFrame, records: DataFrame, cap: int = RERANK_ADDRESS_CAP) -> DataFrame:
+    """(query_id, record_id): records whose entity or attribute, of at least four characters and at most `cap` records, occurs in the query."""
+    texts = queries.select(F.col("query_id").alias("text_id"), F.lower(F.trim("query")).alias("text"))
     out = None
-    for field in ("entity", "attribute"):
-        own = records.select("record_id", F.lower(F.trim(field)).alias("address")).where(F.length("address") >= ADDRESS_CHARS)
-        few = own.groupBy("address").count().where(F.col("count") <= cap).select("address", F.substring("address", 1, ADDRESS_CHARS).alias("gram"))
-        near = grams.join(few, "gram").join(chars.select("query_id", "q"), "query_id").where(F.col("q").contains(F.col("address")))
-        hits = near.select("query_id", "address").join(own, "address").select("query_id", "record_id")
+    for name in ("entity", "attribute"):
+        own = records.select("record_id", F.lower(F.trim(name)).alias("needle")).where(F.length("needle") >= ADDRESS_CHARS)
+        few = own.groupBy("needle").count().where(F.col("count") <= cap).select("needle", F.col("needle").alias("needle_id"))
+        hits = contained(texts, few).select(F.col("text_id").alias("query_id"), F.col("needle_id").alias("needle")).join(own, "needle").select("query_id", "record_id")
         out = hits if out is None else out.union(hits)
     return out.distinct()
 
@@ -311,15 +341,17 @@ def hops(seeds: DataFrame, edges: DataFrame, most: int = 3) -> DataFrame:
 def evidence_chain(facts: DataFrame, most: int = 3, group: str = "group_id", seq: str = "seq") -> DataFrame:
     """(group, seq, next_seq, hop): facts of a group whose value occurs in the fact before.
 
-    The join is on the group, so a group's size bounds its pairs.
+    Which values occur in which texts is found once, by `contained` within groups; a chain then
+    follows those links, so a group costs its links and not its pairs.
     """
-    own = facts.select(group, seq, "text")
-    other = facts.where(F.length("value") > 0).select(F.col(group).alias("_g"), F.col(seq).alias("next_seq"), F.col("value").alias("_v"), F.col("text").alias("_t"))
-    front = own.select(group, F.col(seq), F.col(seq).alias("_at"), "text").withColumn("path", F.array(seq))
+    texts = facts.select(group, F.col(seq).alias("text_id"), "text")
+    links = held(contained(texts, facts.select(group, F.col(seq).alias("needle_id"), F.col("value").alias("needle")), [group]).where("text_id <> needle_id"))
+    links = links.select(group, F.col("text_id").alias("_at"), F.col("needle_id").alias("next_seq"))
+    front = facts.select(group, F.col(seq), F.col(seq).alias("_at"), F.array(seq).alias("path"))
     out = None
     for hop in range(1, most + 1):
-        front = front.join(other, (F.col(group) == F.col("_g")) & F.col("text").contains(F.col("_v")) & ~F.array_contains("path", F.col("next_seq")))
-        front = front.select(group, seq, F.col("next_seq").alias("_at"), F.col("_t").alias("text"), F.array_append("path", F.col("next_seq")).alias("path"))
+        front = front.join(links, [group, "_at"]).where(~F.array_contains("path", F.col("next_seq")))
+        front = front.select(group, seq, F.col("next_seq").alias("_at"), F.array_append("path", F.col("next_seq")).alias("path"))
         rows = front.select(group, seq, F.col("_at").alias("next_seq"), F.lit(hop).alias("hop"))
         out = rows if out is None else out.unionByName(rows)
     return out.groupBy(group, seq, "next_seq").agg(F.min("hop").alias("hop"))

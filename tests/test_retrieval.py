@@ -1,5 +1,6 @@
 """Exact vector search and reranking against brute force."""
 
+import random
 from collections import Counter
 
 import numpy as np
@@ -84,3 +85,26 @@ def test_registered_rerank_matches_brute_force(spark, sf_dir):
                 score = 0.35 * (cosine[j] + 1) / 2 + 0.15 * lexical + 0.3 * (names["source"] != "" and names["source"] in text) + 0.2 * (names["lang"] != "" and names["lang"] in text)
                 rows.append((-round(score, 6), x))
         assert got[i] == [x for _, x in sorted(rows)[:3]]
+
+
+@pytest.mark.parametrize("by", [(), ("g",)])
+def test_contained_equals_all_pairs(spark, by):
+    """Needles of one character and more, many with one prefix, some that hold in every text."""
+    rng = random.Random(6)
+    say = lambda k: "".join(rng.choice("abcé ") for _ in range(k))
+    texts = [(rng.randrange(2), i, rng.choice([None, "", say(3), "commonprefix " + say(40)])) for i in range(60)]
+    needles = [(rng.randrange(2), 100 + i, rng.choice([None, "", say(1), say(2), say(3), say(4), "commonprefix " + say(rng.randrange(4)), "common", say(6)])) for i in range(120)]
+    t = spark.createDataFrame(texts, "g int, text_id long, text string").select(*by, "text_id", "text")
+    n = spark.createDataFrame(needles, "g int, needle_id long, needle string").select(*by, "needle_id", "needle")
+    want = sorted((a, b) for g, a, text in texts for h, b, needle in needles if text is not None and needle and needle in text and (not by or g == h))
+    got = R.contained(t, n, by)
+    assert got.columns == [*by, "text_id", "needle_id"] and sorted((r["text_id"], r["needle_id"]) for r in got.collect()) == want and want
+    assert R.contained(t, n.where("false"), by).collect() == []
+
+
+def test_contained_equals_contains_on_given_tables(spark, sf_dir):
+    """The words of documents' names against all benchmark items."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("needle_id"), F.lower(F.substring_index(F.trim("text"), " ", 1)).alias("needle"))
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("text_id"), F.lower("text").alias("text"))
+    want = {(r["text_id"], n["needle_id"]) for r in b.collect() for n in d.collect() if n["needle"] and n["needle"] in r["text"]}
+    assert {tuple(r) for r in R.contained(b, d).collect()} == want and want
