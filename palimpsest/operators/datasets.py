@@ -111,13 +111,17 @@ def hard_negatives(episodes: DataFrame, items: DataFrame, k: int = 8, seed: str
     group_id, attribute. The pools are the episode's group, its attribute in other groups, and
     all others; each gives its items of lowest hash, a quarter, a quarter and half of k, and
     what is missing comes from the next. Items that share the positive's group and attribute
-    conflict with it and are left out. The pools of attribute and rest are cut to the k + 1
+    conflict with it and are left out, before a group is cut: an episode whose group has enough
+    others gets its quota of them. The pools of attribute and rest are cut to the k + 1
     items of lowest hash by salt before the join, so no attribute is joined whole.
     """
     key = lambda *c: F.sha1(F.encode(F.concat_ws("|", F.lit(seed), *c), "UTF-8"))
     e = episodes.select("episode_id", F.col("item_id").alias("_p"), F.col("group_id").alias("_g"), F.col("attribute").alias("_a"))
     e = e.withColumn("_salt", F.conv(F.substring(key(F.col("episode_id").cast("string")), 1, 2), 16, 10).cast("int") % 16)
-    local = items.withColumn("_l", F.row_number().over(W.partitionBy("group_id").orderBy(key(F.col("item_id").cast("string")), "item_id"))).where(F.col("_l") <= 4 * k)
+    # without any one attribute, a group's first 4 k items are among its first 8 k once each attribute has 4 k at most
+    by_hash = [key(F.col("item_id").cast("string")), F.col("item_id")]
+    local = items.withColumn("_l", F.row_number().over(W.partitionBy("group_id", "attribute").orderBy(*by_hash))).where(F.col("_l") <= 4 * k)
+    local = local.withColumn("_l", F.row_number().over(W.partitionBy("group_id").orderBy(*by_hash))).where(F.col("_l") <= 8 * k)
     near = e.join(local, e["_g"] == local["group_id"]).where("item_id <> _p and attribute <> _a").select("episode_id", "item_id", F.lit(0).alias("pool"))
     salts = items.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
     order = key(F.col("_salt").cast("string"), F.col("item_id").cast("string"))

@@ -107,6 +107,26 @@ def percentile_index(values: Column, share: float, rule: str = "floor") -> Colum
     return F.get(s, F.least(at, n - 1) if rule == "floor" else at)
 
 
+def percentiles(rows: DataFrame, value: str, shares: dict[str, tuple[float, str]], *by: str) -> DataFrame:
+    """(by, n, median, most, a column for each name of shares): percentiles by percentile_index's rules.
+
+    shares is {name: (share, rule)}. Equal values are counted first, so a window holds distinct values
+    and no list of all is made; the median interpolates. Null values don't count.
+    """
+    each = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_k"))
+    n = F.sum("_k").over(W.partitionBy(*by))
+    upto = F.sum("_k").over(W.partitionBy(*by).orderBy("_v"))
+    each = each.withColumns({"_n": n, "_upto": upto})
+    at = {"round": lambda p: F.rint(p * (F.col("_n") - 1)), "floor": lambda p: F.least(F.col("_n") - 1, F.floor(p * F.col("_n"))), "clamped": lambda p: F.least(F.col("_n") - 1, F.floor(p * F.col("_n")))}
+    holds = lambda place: (place >= F.col("_upto") - F.col("_k")) & (place < F.col("_upto"))
+    pick = lambda place: F.max(F.when(holds(place), F.col("_v")))
+    middle = (F.col("_n") - 1) / 2
+    out = each.groupBy(*by).agg(
+        F.max("_n").alias("n"), ((pick(F.floor(middle)) + pick(F.ceil(middle))) / 2).alias("median"), F.max("_v").alias("most"), *(pick(at[rule](F.lit(p))).alias(name) for name, (p, rule) in shares.items())
+    )
+    return out
+
+
 def verdicts(axes: DataFrame, candidate: str, slack: float = 0.03) -> DataFrame:
     """Per axis: the candidate against the best of the others, and whether it passes.
 

@@ -90,9 +90,8 @@ def q_quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text lengths by language: three index rules, and the interpolated median."""
-    rows = read_table(spark, sf_dir, "documents").groupBy("lang").agg(F.collect_list("n_chars").alias("v"), F.expr("percentile(n_chars, 0.5)").alias("median"), F.max("n_chars").alias("most"))
-    pick = lambda p, rule: M.percentile_index(F.col("v"), p, rule)
-    return rows.select("lang", "median", "most", pick(0.95, "round").alias("p95_round"), pick(0.95, "floor").alias("p95_floor"), pick(0.1, "clamped").alias("p10"), pick(0.9, "clamped").alias("p90"))
+    shares = {"p95_round": (0.95, "round"), "p95_floor": (0.95, "floor"), "p10": (0.1, "clamped"), "p90": (0.9, "clamped")}
+    return M.percentiles(read_table(spark, sf_dir, "documents"), "n_chars", shares, "lang").drop("n")
 
 
 def _axes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,34 +16,41 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Partitions of a table that is dealt anew at most: so much is a few gigabytes, whatever the cluster's size.
+MOST_SPREAD = 64
+
+
 def read_spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table for work that costs far more than moving it: one of few partitions is dealt to all cores.
 
-    A small file may be a single row group, which one task reads; a large table has more partitions
-    than cores and is not moved.
+    A small file may be a single row group, which one task reads. Partitions have a bounded size
+    (spark.sql.files.maxPartitionBytes), so a table of more than MOST_SPREAD of them isn't moved.
     """
     df, cores = read_table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= min(cores, MOST_SPREAD) else df
 
 
 def held(df: DataFrame) -> DataFrame:
-    """df, computed once for all its uses: by a checkpoint where a shared folder is set, else cached."""
+    """df, computed once for all its uses, by a checkpoint in the shared folder.
+
+    Where none is set, a temporary one is, but only if master is local. Nothing stays in memory.
+    """
     spark = df.sparkSession
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        return df.persist()
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(folder or _local_folder(spark))
     return df.checkpoint(eager=True)
 
 
+def _local_folder(spark: SparkSession) -> str:
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="scratch-")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new place in the shared folder; where none is set, a temporary one, but only if master is local."""
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="scratch-")
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or _local_folder(spark)
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

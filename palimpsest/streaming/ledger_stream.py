@@ -56,6 +56,9 @@ def ledger_versions(log: DataFrame) -> DataFrame:
     """The actions of a streamed log (entity, attribute, seq, op, value), a row for each log row.
 
     State holds one active version for each key. Unlike the batch view, a row can't say that it
-    will be superseded; the row that does names it.
+    will be superseded; the row that does names it. Within a batch a key's rows are taken in the
+    order of seq; a row that comes in a later batch than one of a larger seq is folded after it, so
+    the rows are those of the batch view only if batches come in the order of seq. A task holds one
+    key's rows of one batch, which the source's rate bounds (maxFilesPerTrigger and the like).
     """
     return log.groupBy("entity", "attribute").applyInPandasWithState(_fold, VERSION_ROWS, _STATE, "append", GroupStateTimeout.NoTimeout)

@@ -1,5 +1,6 @@
 """Registered dataset queries take their whole tables."""
 
+from palimpsest.operators import datasets as D
 from palimpsest.plans import registry
 from palimpsest.sources.files import read_table
 
@@ -10,3 +11,16 @@ def test_every_document_has_hard_negatives(spark, sf_dir):
     assert {r.episode_id for r in rows} == {10 * i for i in d}
     assert len({(r.episode_id, r.item_id) for r in rows}) == len(rows) == 8 * len(d)
     assert not any(d[r.item_id] == d[r.episode_id // 10] for r in rows)
+
+
+def test_a_group_of_one_attribute_does_not_use_up_the_quota(spark):
+    """Group 1 has 200 items of the episode's attribute and five others; the five fill the quota of the group."""
+    items = [(i, 1, "a") for i in range(200)] + [(300 + i, 1, "b") for i in range(5)] + [(400 + i, 2 + i % 9, "abc"[i % 3]) for i in range(90)]
+    i = spark.createDataFrame(items, "item_id long, group_id long, attribute string")
+    e = spark.createDataFrame([(x, x, 1, "a") for x in range(40)], "episode_id long, item_id long, group_id long, attribute string")
+    rows = D.hard_negatives(e, i, k=8).collect()
+    own = {x: (g, a) for x, g, a in items}
+    for x in range(40):
+        mine = [r for r in rows if r["episode_id"] == x]
+        assert len(mine) == 8 == len({r["item_id"] for r in mine}) and sum(r["pool"] == 0 for r in mine) >= 2
+        assert all(own[r["item_id"]] != (1, "a") for r in mine)
