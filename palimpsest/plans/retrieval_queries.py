@@ -316,6 +316,19 @@ SQL = {
               FROM tk JOIN documents a ON a.doc_id = query_id JOIN documents b ON b.doc_id = record_id) """
     + _top_sql("""SELECT query_id, record_id, round(0.35::DOUBLE * ((cosine + 1) * 0.5::DOUBLE) + 0.15::DOUBLE * (len(list_intersect(qx, rx)) / sqrt(greatest(1, len(qx) * len(rx))::DOUBLE))
         + CASE WHEN entity <> '' AND contains(query, entity) THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN attribute <> '' AND contains(query, attribute) THEN 0.2::DOUBLE ELSE 0 END, 6) AS score FROM x""", 3),
+    "q_dense_rerank_united": f"""
+        WITH d AS MATERIALIZED (SELECT vec_id AS id, embedding AS v, concat_ws(' ', source, text) AS query, lower(trim(source)) AS entity, lower(trim(lang)) AS attribute, {terms_sql("text")} AS t FROM embeddings JOIN documents ON doc_id = vec_id),
+        n AS MATERIALIZED (SELECT a.id AS query_id, b.id AS record_id, {_DOT.format("a.v", "b.v")} / (sqrt({_DOT.format("a.v", "a.v")}) * sqrt({_DOT.format("b.v", "b.v")})) AS cosine FROM d a JOIN d b ON a.id <> b.id WHERE a.id % 20 = 0),
+        k AS (SELECT query_id, record_id FROM n QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 12) DESC, record_id) <= 32),
+        w AS (SELECT id, unnest(t) AS term FROM d), few AS (SELECT term FROM w GROUP BY term HAVING count(*) <= 256),
+        l AS (SELECT DISTINCT a.id AS query_id, b.id AS record_id FROM w a JOIN few USING (term) JOIN w b USING (term) WHERE a.id % 20 = 0),
+        g AS (SELECT id, entity AS x FROM d WHERE length(entity) >= 4 AND entity IN (SELECT entity FROM d GROUP BY entity HAVING count(*) <= 512)
+              UNION SELECT id, attribute FROM d WHERE length(attribute) >= 4 AND attribute IN (SELECT attribute FROM d GROUP BY attribute HAVING count(*) <= 512)),
+        c AS (SELECT * FROM k UNION SELECT * FROM l UNION SELECT d.id, g.id FROM d JOIN g ON contains(lower(trim(d.query)), g.x) WHERE d.id % 20 = 0),
+        x AS (SELECT query_id, record_id, cosine, lower(a.query) AS query, a.t AS qx, b.t AS rx, coalesce(b.entity, '') AS entity, coalesce(b.attribute, '') AS attribute
+              FROM c JOIN n USING (query_id, record_id) JOIN d a ON a.id = query_id JOIN d b ON b.id = record_id) """
+    + _top_sql("""SELECT query_id, record_id, round(0.35::DOUBLE * ((cosine + 1) * 0.5::DOUBLE) + 0.15::DOUBLE * (len(list_intersect(qx, rx)) / sqrt(greatest(1, len(qx) * len(rx))::DOUBLE))
+        + CASE WHEN entity <> '' AND contains(query, entity) THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN attribute <> '' AND contains(query, attribute) THEN 0.2::DOUBLE ELSE 0 END, 6) AS score FROM x""", 3),
     "q_chunk_overlap": f"""
         WITH c AS (SELECT doc_id, unnest(range(0, ceil(length(text) / 1800.0)::BIGINT)) AS i, text FROM documents),
         k AS (SELECT doc_id * 1000 + i AS chunk_id, unnest({terms_sql("trim(substr(text, i * 1800 + 1, 1800))")}) AS term FROM c),
