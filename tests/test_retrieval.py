@@ -108,3 +108,16 @@ def test_contained_equals_contains_on_given_tables(spark, sf_dir):
     b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("text_id"), F.lower("text").alias("text"))
     want = {(r["text_id"], n["needle_id"]) for r in b.collect() for n in d.collect() if n["needle"] and n["needle"] in r["text"]}
     assert {tuple(r) for r in R.contained(b, d).collect()} == want and want
+
+
+def test_small_groups_make_no_grams_and_large_ones_do(spark, monkeypatch):
+    """Groups of few needles are compared directly; where one has more, it alone is anchored, with the same rows."""
+    rng = random.Random(5)
+    text = [(g, i, "".join(rng.choice("abcd ") for _ in range(40))) for g in range(4) for i in range(30 if g == 3 else 5)]
+    needle = [(g, i, x[j : j + 1 + i % 6]) for g, i, x in text for j in (3,)]
+    t, n = spark.createDataFrame(text, "g int, text_id int, text string"), spark.createDataFrame(needle, "g int, needle_id int, needle string")
+    want = sorted((g, i, k) for g, i, x in text for h, k, y in needle if g == h and y in x)
+    assert sorted(map(tuple, R.contained(t, n, ["g"], few=8).collect())) == want
+    made = []
+    monkeypatch.setattr(R, "_with_grams", lambda *a: made.append(a))
+    assert sorted(map(tuple, R.contained(t, n, ["g"]).collect())) == want and not made
