@@ -80,3 +80,33 @@ def test_few_odd_and_equal_vectors(spark, n):
     own = [x["record_id"] for x in sorted(got, key=lambda x: x["rank"]) if x["query_id"] == 0]
     assert own == [*range(1, n), 102][:3] and {x["query_id"] for x in got} <= {0, 8}
     assert X.codes(r, X.build(r)).count() == n + 2
+
+
+def crowded(n, seed=3, dims=64):
+    """Clusters so close that codes of a few of their vectors come out in another order, in far cells as well."""
+    rng = np.random.default_rng(seed)
+    middle = rng.normal(0, 1, (5, dims))
+    return {i: (middle[i % 5] + rng.normal(0, 0.02, dims)).astype(np.float32) for i in range(n)}
+
+
+@pytest.mark.parametrize("cells", [1, 12])
+def test_exact_misses_none_of_crowded_and_equal_vectors(spark, cells):
+    """An index with one probe and a single value for each component; copies beyond k, blocks of a few records."""
+    rows = crowded(600)
+    rows |= {1000 + i: rows[3] for i in range(40)} | {2000: np.zeros(64, np.float32)}
+    asked = {i: v for i, v in rows.items() if i % 20 == 3 or i >= 1030}
+    q, r = frames(spark, rows, asked)
+    index = X.build(r, cells=cells)
+    index = X.VectorIndex(index.centroids, index.low, index.step * 16, 1)
+    cos = lambda v, w: round(float(np.dot(v.astype(float), w.astype(float)) / (np.linalg.norm(v.astype(float)) * np.linalg.norm(w.astype(float)))), 6) if v.any() and w.any() else 0.0
+    want = {(a, x, k + 1) for a, v in asked.items() for k, (_, x) in enumerate(sorted((-cos(v, w), i) for i, w in rows.items() if i != a)[:5])}
+    for size in (X.RECORD_ROWS, 50):
+        got = X.exact(q, r, 5, index, record_rows=size, query_rows=16).collect()
+        assert {(x["query_id"], x["record_id"], x["rank"]) for x in got} == want
+    near = X.nearest(q, r, 5, index).collect()
+    assert {(x["query_id"], x["record_id"], x["rank"]) for x in near} != want  # candidates by codes alone miss some
+
+
+def test_exact_without_vectors(spark):
+    q, r = frames(spark, {0: np.ones(64)}, {1: np.ones(64)})
+    assert X.exact(q, r.where("false"), 3).collect() == [] and X.exact(q.where("false"), r, 3).collect() == []
