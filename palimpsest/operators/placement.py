@@ -22,8 +22,8 @@ def place(records: DataFrame, pages: DataFrame, choices: int = CHOICES, dims: in
     records has record_id and vector, pages page_id, vector and room (what it can still take). In a
     round every record without a page offers itself to the nearest page with room, and a page takes
     the nearest of its offers, ties by the lower ids, up to its room; what it took stays. Nearest
-    is by rounded cosine, among the `choices` nearest pages of a vector index; a record whose choices
-    are all full seeks among the pages with room anew. Records are left over only if no room is.
+    is by rounded cosine, among the `choices` nearest pages of a vector index, exactly so with a target
+    of 1; a record whose choices are all full seeks among the pages with room anew. Records are left over only if no room is.
     Null vectors and those of other than `dims` components aren't placed. Ids are longs.
 
     A page whose offers are a third of all records ranks no more than its room of them in a task: the
@@ -35,9 +35,12 @@ def place(records: DataFrame, pages: DataFrame, choices: int = CHOICES, dims: in
     by_page = W.partitionBy("page_id").orderBy(F.col("score").desc(), "record_id")
     while waiting.head(1) and rooms.head(1):
         ends = waiting.withColumnRenamed("record_id", "query_id"), rooms.withColumnRenamed("page_id", "record_id")
-        index = X.build(ends[1], choices, target, dims=dims)
-        index = replace(index, probes=index.cells) if every else index
-        near = X.nearest(*ends, choices, index, digits=digits, dims=dims, apart=False)
+        if target < 1:
+            index = X.build(ends[1], choices, target, dims=dims)
+            index = replace(index, probes=index.cells) if every else index
+            near = X.nearest(*ends, choices, index, digits=digits, dims=dims, apart=False)
+        else:
+            near = X.exact(*ends, choices, digits=digits, dims=dims, apart=False)
         near = held(near.select(F.col("query_id").alias("record_id"), F.col("record_id").alias("page_id"), "score", "rank"))
         most = rooms.agg(F.max("room")).first()[0]
         every = True  # if no page takes any, as probed cells hold none, all cells are probed next
