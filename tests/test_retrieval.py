@@ -121,3 +121,17 @@ def test_small_groups_make_no_grams_and_large_ones_do(spark, monkeypatch):
     made = []
     monkeypatch.setattr(R, "_with_grams", lambda *a: made.append(a))
     assert sorted(map(tuple, R.contained(t, n, ["g"]).collect())) == want and not made
+
+
+def test_signature_blocks_equal_pairs(spark):
+    """Blocks of a few rows of a code give the rows of comparing all pairs of near codes; null vectors don't count."""
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in np.float32(rng.normal(0, 1, 64) + (2 if i % 3 else 0))]) for i in range(200)] + [(500, None)]
+    r = spark.createDataFrame(rows, "record_id long, vector array<float>")
+    q = r.where("record_id % 20 = 0").withColumnRenamed("record_id", "query_id")
+    pairs = R.dense_scores(q, r.where("vector is not null")).where("query_id <> record_id and query_id <> 500").select("query_id", "record_id", F.round("cosine", 6).alias("score"))
+    want = sorted(map(tuple, R.top_k(pairs, 5).select("query_id", "record_id", "rank").collect()))
+    got = R.signature_top_k(q, r, 5, query_rows=3, record_rows=7).select("query_id", "record_id", "rank").collect()
+    assert sorted(map(tuple, got)) == want and want
+    text = R.signature_top_k(q, r, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in text
