@@ -334,7 +334,8 @@ def excerpt(text: Column, phrase: Column, radius: int) -> Column:
 
 def distinctive_overlap(query: Column, text: Column, stop: str = "") -> Column:
     """Share of the text's distinct non-ASCII characters that the query has."""
-    chars = lambda x: F.array_distinct(F.filter(F.split(x, ""), lambda c: c.rlike("[^\\x00-\\x7F]") & ~F.lit(stop).contains(c)))
+    found = lambda x: F.regexp_extract_all(x, F.lit("[^\\x00-\\x7F]"), F.lit(0))
+    chars = lambda x: F.array_distinct(F.filter(found(x), lambda c: ~F.lit(stop).contains(c)) if stop else found(x))
     own = chars(text)
     return F.when(F.size(own) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(chars(query), own)).cast("double") / F.size(own))
 

@@ -127,8 +127,10 @@ def q_pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexical scores of every document against one benchmark item; the items take turns."""
     items = read_table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
     rows = read_table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % items.count()).alias("item_id")).join(items, "item_id")
-    q, r = T.tokens(F.col("question")), T.tokens(F.col("text"))
-    lexical, overlap = T.lexical_score(q, r), T.coverage_score(q, r)
+    # columns of their own, so that tokens and scores are made once for all uses
+    rows = rows.select("doc_id", "question", "text", T.tokens(F.col("question")).alias("q"), T.tokens(F.col("text")).alias("r"))
+    rows = rows.select("doc_id", "question", "text", T.lexical_score(F.col("q"), F.col("r")).alias("lexical"), T.coverage_score(F.col("q"), F.col("r")).alias("overlap"))
+    lexical, overlap = F.col("lexical"), F.col("overlap")
     return rows.select(
         "doc_id", F.round(lexical, 6).alias("lexical"), F.round(overlap, 6).alias("coverage"), F.round(T.distinctive_overlap(F.col("question"), F.col("text")), 6).alias("distinctive"),
         F.round(V.slot_score(lexical, overlap, F.col("doc_id") % 2 == 0), 6).alias("slot"), F.round(V.blend(lexical, overlap), 6).alias("blended"),

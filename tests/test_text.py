@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
+from palimpsest.plans import registry
 
 
 def one(spark, column, **values):
@@ -105,3 +106,12 @@ def test_routing_text(spark):
     assert one(spark, said, t="x", e="", a="模型名称", v="Q") == "x 模型名称 Q 正式名字 模型名"
     assert one(spark, said, t="x", e="", a="operational:6", v="").endswith("operational:6 reset token fim")
     assert one(spark, T.routing_text(*map(F.col, "teav")), t="x", e=" ", a="模型名称", v="Q") == "x 模型名称 Q"
+
+
+def test_pair_scores_are_made_once(spark, sf_dir):
+    """Tokens and scores that several columns use are columns of their own; characters beyond the basic plane count as one."""
+    plan = registry.QUERIES["q_pair_scores"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_intersect") == 3
+    rows = spark.createDataFrame([("é😀a", "éé😀x😀ü", 0)], "a string, b string, i int")
+    got = rows.select(T.distinctive_overlap(F.col("a"), F.col("b")).alias("x"), T.distinctive_overlap(F.col("a"), F.col("b"), "é").alias("y")).first()
+    assert round(got["x"], 6) == 0.666667 and got["y"] == 0.5
