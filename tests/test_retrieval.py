@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
+from palimpsest.functions import vectors as V
 from palimpsest.operators import retrieval as R
 from palimpsest.plans import registry, retrieval_queries
 from palimpsest.sources.files import read_table
@@ -87,6 +88,31 @@ def test_registered_rerank_matches_brute_force(spark, sf_dir):
         assert got[i] == [x for _, x in sorted(rows)[:3]]
 
 
+@pytest.mark.parametrize("rows", [3, 1_000])
+def test_reranked_cells_equal_joined_pairs(spark, rows):
+    """Pairs reach the cells as ids; missing texts and vectors, vectors of other sizes and repeated ids score as in a join."""
+    rng = np.random.default_rng(5)
+    words = lambda: None if rng.random() < 0.1 else [f"w{x}" for x in rng.choice(30, rng.integers(0, 12), replace=False)]
+    vector = lambda: None if rng.random() < 0.1 else [0.0, 0.0] if rng.random() < 0.1 else [float(x) for x in rng.normal(size=3 if rng.random() < 0.1 else 2)]
+    name = lambda: [None, "", " Web ", "En", "fr"][rng.integers(5)]
+    r = spark.createDataFrame([(i % 37, name(), name(), words(), vector()) for i in range(40)], "record_id long, entity string, attribute string, tokens array<string>, vector array<float>")
+    q = spark.createDataFrame([(i % 9, [None, "all the WEB", "en fr"][i % 3], words(), vector()) for i in range(10)], "query_id long, query string, tokens array<string>, vector array<float>")
+    pairs = spark.createDataFrame([(i, j) for i in range(9) for j in range(40) if rng.random() < 0.6], "query_id long, record_id long")
+    joined = pairs.join(q.toDF("query_id", "query", "q_terms", "q_vector"), "query_id").join(r.toDF("record_id", "entity", "attribute", "r_terms", "r_vector"), "record_id")
+    joined = joined.withColumn("cosine", V.cosine(F.col("q_vector"), F.col("r_vector")))
+    want = R.top_k(R.dense_rerank(joined).select("query_id", "record_id", F.round("score", 6).alias("score")), 20)
+    got = R.dense_rerank_top_k(q, r, pairs, 20, query_rows=rows, record_rows=rows)
+    key = lambda df: sorted(((x.query_id, x["rank"], x.record_id, x.score) for x in df.collect()), key=repr)
+    assert key(got) == key(want)
+    assert R.dense_rerank_top_k(q, r, pairs.where("false"), 3).count() == 0 and R.dense_rerank_top_k(q, r.where("false"), pairs, 3).count() == 0
+
+
+def test_registered_rerank_sends_no_vectors_with_pairs(spark, sf_dir):
+    plan = registry.QUERIES["q_dense_rerank_united"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join " in x]
+    assert "FlatMapCoGroupsInArrow" in plan and joins and not [x for x in joins if "vector" in x] and "q_vector" not in plan
+
+
 @pytest.mark.parametrize("by", [(), ("g",)])
 def test_contained_equals_all_pairs(spark, by):
     """Needles of one character and more, many with one prefix, some that hold in every text."""
