@@ -13,6 +13,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import held
+
 
 @dataclass(frozen=True)
 class PairMlp:
@@ -38,6 +40,46 @@ class PairMlp:
             out = self.gate * np.where(length > 0, (q * k).sum(axis=1) / np.where(length > 0, length, 1), 0) + (1 - self.gate) * out
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
+    def block(self, q: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """The scores of every row of q with every row of k; what the first layer adds for either alone is made once."""
+        if self.features == "gated":
+            return self(np.repeat(q, len(k), axis=0), np.tile(k, (len(q), 1))).reshape(len(q), len(k))
+        (w, b), d, out = self.layers[0], q.shape[1], np.empty((len(q), len(k)))
+        left, right = q @ w[:d] + b, k @ w[d : 2 * d]
+        for i, x in enumerate(q):
+            h = np.concatenate([x * k, np.abs(x - k)], axis=1) @ w[2 * d :] + right + left[i]
+            for w_next, b_next in self.layers[1:]:
+                h = np.maximum(h, 0) @ w_next + b_next
+            out[i] = h[:, 0]
+        return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
+
+
+def block_scores(queries: DataFrame, records: DataFrame, by: str, score: Callable[[np.ndarray, np.ndarray], np.ndarray], query_rows: int = 256, record_rows: int = 2_048) -> DataFrame:
+    """(query_id, record_id, score) of every query (query_id, vector) with every record (record_id, vector) of equal `by`; null vectors score null.
+
+    score takes two matrices and scores all their pairs. A task holds a block of queries and a block of records of a group, so a
+    group of any size has bounded blocks; vectors go to a block once, not with each pair.
+    """
+    kinds = [t.schema[c].dataType.simpleString() for t, c in ((queries, "query_id"), (records, "record_id"))]
+
+    def run(q: pa.Table, r: pa.Table) -> pa.Table:
+        n, ids = len(q) * len(r), [t.column(c).combine_chunks() for t, c in ((q, "query_id"), (r, "record_id"))]
+        out, known = np.full((len(q), len(r)), np.nan), [t.column("vector").is_valid().to_numpy() for t in (q, r)]
+        if known[0].any() and known[1].any():
+            out[np.ix_(*known)] = score(*(np.array(t.column("vector").drop_null().to_pylist(), float) for t in (q, r)))
+        at = np.arange(n)
+        return pa.table({"query_id": ids[0].take(pa.array(at // max(1, len(r)))), "record_id": ids[1].take(pa.array(at % max(1, len(r)))), "score": pa.array(out.ravel(), from_pandas=True)})
+
+    size = lambda t, rows, name: t.where(F.col(by).isNotNull()).groupBy(by).agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
+    parts = held(size(queries, query_rows, "_q").join(size(records, record_rows, "_r"), by))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    alias = lambda c: F.col(c).alias(c)  # noqa: E731  # both may come from one table
+    q = queries.join(parts, by).select(alias("query_id"), alias("vector"), alias(by), own("query_id", "_q").alias("_q_part"), each("_r").alias("_r_part"))
+    r = records.join(parts, by).select(alias("record_id"), alias("vector"), alias(by), own("record_id", "_r").alias("_r_part"), each("_q").alias("_q_part"))
+    keys = (by, "_q_part", "_r_part")
+    return q.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInArrow(run, f"query_id {kinds[0]}, record_id {kinds[1]}, score double")
+
 
 def scorer(score: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callable[[Column, Column], Column]:
     """A column function of any batch scorer of two matrices; null vectors score null."""

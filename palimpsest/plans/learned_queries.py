@@ -21,10 +21,8 @@ def small_layers() -> tuple[tuple[np.ndarray, np.ndarray], ...]:
 
 def q_pair_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every query vector against the vectors of its label, by a fixed small network."""
-    layers = small_layers()
-    q, r = vectors(spark, sf_dir)
-    pairs = q.select("query_id", "label", F.col("vector").alias("a")).join(r.select("record_id", "label", F.col("vector").alias("b")), "label")
-    return pairs.select("query_id", "record_id", F.round(N.scorer(N.PairMlp(layers))(F.col("a"), F.col("b")), 6).alias("score"))
+    scores = N.block_scores(*vectors(spark, sf_dir), "label", N.PairMlp(small_layers()).block)
+    return scores.withColumn("score", F.round("score", 6))
 
 
 def q_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
 from palimpsest.functions import vectors as V
+from palimpsest.operators import learned as N
 from palimpsest.operators import retrieval as R
 from palimpsest.plans import registry, retrieval_queries
 from palimpsest.sources.files import read_table
@@ -161,3 +162,16 @@ def test_signature_blocks_equal_pairs(spark):
     assert sorted(map(tuple, got)) == want and want
     text = R.signature_top_k(q, r, 5)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in text
+
+
+@pytest.mark.parametrize("rows", [2, 1_000])
+def test_pair_blocks_equal_scored_pairs(spark, rows):
+    """Blocks of a label score as joined pairs do; null vectors score null, null labels pair with nothing."""
+    rng = np.random.default_rng(3)
+    net = N.PairMlp(((rng.normal(size=(12, 4)), rng.normal(size=4)), (rng.normal(size=(4, 1)), np.ones(1))))
+    r = spark.createDataFrame([(i, None if i % 9 == 4 else [float(x) for x in rng.normal(size=3)], [None, 0, 1, 1][i % 4]) for i in range(40)], "record_id int, vector array<float>, label int")
+    q = r.where("record_id % 3 = 0").withColumnRenamed("record_id", "query_id")
+    pairs = q.toDF("query_id", "a", "label").join(r.toDF("record_id", "b", "label"), "label")
+    want = pairs.select("query_id", "record_id", F.round(N.scorer(net)("a", "b"), 6).alias("score"))
+    got = N.block_scores(q, r, "label", net.block, rows, rows).withColumn("score", F.round("score", 6))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr) and got.dtypes == want.dtypes
