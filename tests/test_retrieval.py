@@ -1,7 +1,9 @@
-"""Exact vector search and reranking against brute force."""
+"""Exact vector search, reranking and BM25 of pools against brute force."""
 
+import math
 import random
-from collections import Counter
+import statistics
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -175,3 +177,58 @@ def test_pair_blocks_equal_scored_pairs(spark, rows):
     want = pairs.select("query_id", "record_id", F.round(N.scorer(net)("a", "b"), 6).alias("score"))
     got = N.block_scores(q, r, "label", net.block, rows, rows).withColumn("score", F.round("score", 6))
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr) and got.dtypes == want.dtypes
+
+
+def pools_by_hand(queries, records):
+    """BM25 in each pool; equal (id, number of words) of a pool are one record, as in SQL."""
+    size, asked, tf = defaultdict(list), Counter(), Counter()
+    for i, p, words in records:
+        size[p].append(len(words) if words is not None else None)
+        tf.update((i, p, len(words), w) for w in words or [] if w is not None)
+    asked.update((q, p, w) for q, p, words in queries for w in words or [] if w is not None)
+    df = Counter((p, w) for _, p, _, w in tf)
+    out = defaultdict(float)
+    for (q, p, w), times in asked.items():
+        for (i, rp, n_words, rw), f in tf.items():
+            if (rp, rw) == (p, w) and p is not None:
+                n, mean = len(size[p]), statistics.mean(x for x in size[p] if x is not None)
+                out[q, i] += times * math.log(1 + (n - df[p, w] + 0.5) / (df[p, w] + 0.5)) * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * n_words / mean))
+    return {k: round(v, 6) for k, v in out.items()}
+
+
+@pytest.mark.parametrize("words,tasks", [(2, 3), (1_024, 20_000)])
+def test_bm25_of_pools_is_that_of_all_words(spark, monkeypatch, words, tasks):
+    """Pools without queries or records, a hot one, repeated ids, several queries of a pool, nulls."""
+    monkeypatch.setattr(R, "ASKED_WORDS", words)
+    monkeypatch.setattr(R, "HIT_RECORDS", tasks)
+    rng = random.Random(5)
+    say = lambda most: [f"w{int(rng.paretovariate(0.6))}" for _ in range(rng.randrange(most))]
+    records = [(i, rng.choice([1, 1, 1, 2, 3, 4]), say(15)) for i in range(150)] + [(7, 1, ["w1", "w2", None]), (7, 1, ["w1", "w1", "w9"]), (8, 2, None), (9, 1, []), (10, None, ["w1"]), (11, 6, ["w1"])]
+    queries = [(q, p, say(12)) for q, p in enumerate([1, 1, 2, 3, 5])] + [(0, 1, ["w1", "w1", "w3"]), (0, 2, ["w2", None]), (8, 4, None), (9, None, ["w1"])]
+    q, r = spark.createDataFrame(queries, "query_id long, pool long, words array<string>"), spark.createDataFrame(records, "record_id long, pool long, words array<string>").repartition(3)
+    got = R.bm25(q, r, pool="pool").collect()
+    assert len(got) > 100 and {(x["query_id"], x["record_id"]): round(x["score"], 6) for x in got} == pytest.approx(pools_by_hand(queries, records), abs=2e-6)
+
+
+def records_shuffled(node):
+    """Rows that a plan's exchanges wrote."""
+    kind = node.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec" or kind.endswith("QueryStageExec"):
+        return records_shuffled(node.executedPlan() if kind == "AdaptiveSparkPlanExec" else node.plan())
+    own = node.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0
+    return own + sum(records_shuffled(node.children().apply(i)) for i in range(node.children().size()))
+
+
+def test_bm25_of_pools_shuffles_only_shared_words(spark):
+    """Words that no query of their pool has never become rows of their own."""
+    r = spark.range(200).select(F.col("id").alias("record_id"), (F.col("id") % 10).alias("pool"), F.concat(F.array(F.lit("both")), F.transform(F.sequence(F.lit(1), F.lit(500)), lambda i: F.concat(F.lit("own"), i.cast("string")))).alias("words"))
+    q = spark.range(10).select(F.col("id").alias("query_id"), F.col("id").alias("pool"), F.array(F.lit("both"), F.lit("none")).alias("words"))
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for large tables
+    try:
+        df = R.bm25(q, r, pool="pool")
+        assert len(df.collect()) == 200
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    written = records_shuffled(df._jdf.queryExecution().executedPlan())
+    assert 400 <= written < 2_000  # 200 records of 501 words
