@@ -138,6 +138,28 @@ def test_a_passage_of_many_texts_is_split(spark, group_rows):
     assert {r.id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == expected_removal(texts, 60)
 
 
+def test_windows_of_one_hash_are_no_repeats(spark):
+    """Two windows of a text that differ and were made to have one hash and one anchor; then also a true repeat of one of them."""
+    change = {150: 3, 160: 3, 170: 1, 180: 1, 190: -4, 200: 2, 210: 1, 220: -2, 410: -4, 430: 4, 440: -2, 460: 3, 480: 1, 490: 1, 500: -2, 510: -1, 520: 3}
+    for seed in range(1000):
+        rng = np.random.default_rng(seed)
+        say = lambda n: rng.integers(101, 119, n, dtype=np.uint8)
+        one = say(640)
+        other = one.copy()
+        other[list(change)] += np.array(list(change.values()), dtype=np.int8).view(np.uint8)
+        data = np.concatenate([say(300), one, say(300), other, say(300)])
+        found, places = suffix_dedup.anchors(data, np.array([0, len(data)]), 400, 160)
+        if {540, 1480} <= set(places.tolist()):
+            break
+    hashes = suffix_dedup.window_hashes(data, 640)
+    assert hashes[300] == hashes[1240] and found[places == 540] == found[places == 1480]
+    texts = [data.tobytes().decode(), np.concatenate([data, say(300), one, say(300), other]).tobytes().decode()]
+    for some in ([texts[0]], [texts[1]], texts):
+        df = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+        rows = suffix_dedup.remove_repeats(df).collect()
+        assert {r.id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == expected_removal(some, 400)
+
+
 def test_repeats_of_nothing(nothing):
     assert suffix_dedup.remove_repeats(nothing).count() == 0
 
